@@ -1,0 +1,28 @@
+"""Joins that hold when one key owns a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def hot_values(counts: DataFrame, key: str, n: str, share: float = 0.005) -> list:
+    """Values of key that hold more than share of sum(n); at most 1/share of them, so collecting is bounded."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where((F.col(n) > total * share) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: list, spread: Column, salts: int = 32, how: str = "left") -> DataFrame:
+    """Equi-join on key where big may hold very many rows of the keys in hot.
+
+    Rows of a hot key spread over ``salts`` tasks by ``spread`` (a column of big, e.g. a hash of its id);
+    small's rows of those keys, and of no other, are repeated once per salt. Keys are unique in small.
+    Null keys match nothing. how: 'left' or 'inner'.
+    """
+    if not hot:
+        return big.join(small, key, how)
+    slot = "__salt"
+    big = big.withColumn(slot, F.when(F.col(key).isin(hot), F.pmod(spread, F.lit(salts))).otherwise(0).cast("int"))
+    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    small = small.withColumn(slot, F.explode(copies))
+    return big.join(small, [key, slot], how).drop(slot)
