@@ -3,15 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from citewise.llm.bpe import token_counts, token_ids
+from citewise.llm.dyadic import combine, quantiles, update
+from citewise.llm.frequent import at_least, frequent
 from citewise.llm.packing import pack
+from citewise.llm.pii import personal_data, redacted
 from citewise.llm.splitting import split_texts
 from citewise.sources.tables import table
 
 CONTAINER_TOKENS, PIECE_TOKENS, PIECE_OVERLAP = 2048, 512, 64
 
 
+def _daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches per endpoint, metric and day of creation; each request counts once, endpoints in one spelling."""
+    requests = table(spark, sf_dir, "api_requests")
+    # copies agree in all of these columns, so grouping by them and the id leaves one row each
+    once = requests.where("id is not null").select("id", "endpoint", F.to_date("created_at").alias("day"), "duration_ms", "cost_micro_usd").distinct()
+    endpoint = F.regexp_replace(F.regexp_replace(F.trim("endpoint"), r"\s+", " "), r"(?<=.)/+$", "")
+    endpoint = F.concat(F.upper(F.substring_index(endpoint, " ", 1)), F.lit(" "), F.expr("substring_index(e, ' ', -1)"))
+    once = once.withColumn("e", F.regexp_replace(F.regexp_replace(F.trim("endpoint"), r"\s+", " "), r"(?<=.)/+$", "")).withColumn("endpoint", endpoint)
+    long = once.select("endpoint", "day", F.explode(F.array(F.struct(F.lit("duration_ms").alias("metric"), F.col("duration_ms").alias("v")), F.struct(F.lit("cost_micro_usd").alias("metric"), F.col("cost_micro_usd").alias("v")))).alias("x"))
+    return update(long.select("endpoint", "day", F.col("x.metric").alias("metric"), F.col("x.v").alias("v")), ["endpoint", "metric", "day"], "v")
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles(combine(_daily_sketches(spark, sf_dir), ["endpoint", "metric"]), ["endpoint", "metric"])
+
+
+def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles(_daily_sketches(spark, sf_dir), ["endpoint", "metric", "day"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at_least(table(spark, sf_dir, "gsc_daily"), ("page", "query"), 0.01).select("field", "item")
+
+
+def p4_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequent(table(spark, sf_dir, "gsc_daily"), ("page", "query"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "leads").withColumnRenamed("id", "lead_id"), "lead_id", ("name", "message")).select("lead_id", "field", "kind", "start_pos")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted(table(spark, sf_dir, "leads"), "id", ("name", "message"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -25,5 +65,9 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), PIECE_TOKENS, PIECE_OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_containers, p9_pieces)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p4_found, p4_frequent, p5_found, p5_redacted, p7_ids, p8_containers, p9_pieces)}
+ORACLE: dict[str, str] = {
+    "p4_found": """
+WITH long AS (SELECT 'page' AS field, page AS item FROM gsc_daily UNION ALL SELECT 'query', query FROM gsc_daily)
+SELECT field, item FROM long WHERE item IS NOT NULL AND item <> '' GROUP BY 1, 2 HAVING count(*) >= 0.01 * (SELECT count(*) FROM gsc_daily)""",
+}
