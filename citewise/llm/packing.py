@@ -70,21 +70,16 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     packed as an item. start is the piece's first unit within its item, fill the container's used units. Null and
     negative sizes are 0; items of size 0 go to some container as well. Rows of the same key are items of their own.
 
-    Items go to groups of about per_group by a hash of the key; a group is packed by itself by sum_of_squares over
-    decreasing sizes, which leaves a few open bins a group: so groups don't depend on each other, and their number
-    grows with the items while a group's work doesn't. The full pieces never leave the JVM.
+    Pieces go to groups of about per_group items by a hash of key and piece; a group is packed by itself by
+    sum_of_squares over decreasing sizes, which leaves a few open bins a group: so groups don't depend on each other,
+    and their number grows with the items while a group's work doesn't. sizes is evaluated once and shuffled once.
     """
     n_items = sizes.count() if n_items is None else n_items
     groups = max(1, math.ceil(n_items / per_group))
-    s = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
-    rows = sizes.select(F.col(key).cast("long").alias("key"), s.alias("n"))
-    full = (F.col("n") / capacity).cast("long")
-    whole = (
-        rows.where(F.col("n") >= capacity)
-        .select("key", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"))
-        .select("key", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_tokens"), F.concat_ws(":", F.lit("full"), "key", "piece").alias("container"), F.lit(capacity).cast("long").alias("fill"))
-    )
-    rest = rows.where((F.col("n") == 0) | (F.col("n") % capacity > 0)).select("key", full.alias("piece"), (F.col("n") % capacity).alias("n"), F.pmod(F.xxhash64("key", F.lit(8)), F.lit(groups)).alias("group"))
+    n = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
+    last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0))
+    rows = sizes.select(F.col(key).cast("long").alias("key"), n.alias("n")).select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("piece"))
+    pieces = rows.select("key", "piece", F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).cast("long").alias("n"), F.pmod(F.xxhash64("key", "piece"), F.lit(groups)).alias("group"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = pdf["n"].to_numpy()
@@ -93,5 +88,5 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
         name = f"{pdf['group'].iloc[0]}:"
         return pd.DataFrame({"key": pdf["key"], "piece": pdf["piece"], "start": pdf["piece"] * capacity, "n_tokens": n, "container": [f"{name}{b}" for b in bins.tolist()], "fill": fill[bins]})
 
-    packed = rest.groupBy("group").applyInPandas(run, "key long, piece long, start long, n_tokens long, container string, fill long")
-    return whole.unionByName(packed).withColumnRenamed("key", key)
+    packed = pieces.groupBy("group").applyInPandas(run, "key long, piece long, start long, n_tokens long, container string, fill long")
+    return packed.withColumnRenamed("key", key)
