@@ -13,110 +13,158 @@ from pyspark.sql import functions as F
 
 from citewise.llm.bpe import Encoder, blocks, encoder, vocabulary
 
-#: Natural boundaries, the strongest first: each match's end is a place to cut.
-BOUNDARIES = (
-    ("paragraph", re.compile(r"\n[^\S\n]*\n\s*")),
-    ("line", re.compile(r"\n+")),
-    ("sentence", re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？]+[」』）]*")),
-    ("word", re.compile(r"\S(?=\s)|\s(?=\S)|[,;、，；](?=\S)")),
-)
 BLOCK_CHARS = 3_000_000
-
-
-def fragments(enc: Encoder, word: str, most: int) -> list[str]:
-    """A known word cut after whole characters into parts of about most of its tokens."""
-    at = enc.of[word]
-    ids = enc.ids[enc.start[at] : enc.start[at] + enc.size[at]].tolist()
-    raw, cuts, want = word.encode(), [0], most
-    for k, e in enumerate(accumulate(len(enc.pairs.token_bytes[i]) for i in ids), 1):
-        if e == len(raw) or (k >= want and raw[e] & 0xC0 != 0x80):
-            cuts.append(e)
-            want = k + most
-    return [raw[x:y].decode() for x, y in zip(cuts, cuts[1:], strict=False)]
-
-
-def prepare(enc: Encoder, texts: list[str], most: int) -> tuple[list[list[str]], dict[str, list[str]]]:
-    """The words of each text, and the fragments of those with more than most tokens; all known to enc afterwards."""
-    _, _, words = enc.look_up(texts)
-    long = {w for ws in words for w in ws if len(w) > most and enc.size[enc.of[w]] > most}
-    parts = {w: fragments(enc, w, most) for w in long}
-    enc.learn(f for fs in parts.values() for f in fs)
-    return words, parts
-
-
-def most_in_atom(limit: int, overlap: int) -> int:
-    return max(1, min(overlap or limit, limit - overlap) // 4)
-
-
-def cut_text(enc: Encoder, text: str, words: list[str], parts: dict[str, list[str]], limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
-    """Pieces of text: (first character, end character, tokens, kind of the cut at the end).
-
-    words and parts come from prepare. The words, or the fragments of long ones, are the atoms; a cut between words
-    changes no token but those of white space at a piece's end. tokens are prefix sums over atoms; each kind of boundary is a sorted array of token offsets. From a piece's start
-    the last boundary within limit is found by binary search, the strongest kind that leaves the piece at least half
-    full first, then the weaker ones, then any atom ('hard'). The next piece starts at the last atom at least overlap
-    tokens, of the whole text's encoding, before the cut. The piece's own tokens are counted. Pieces tile the text, never exceed limit, and advance always.
-    """
-    inner: set[int] = set()
-    if parts:
-        units: list[str] = []
-        for w in words:
-            if w in parts:
-                inner.update(range(len(units) + 1, len(units) + len(parts[w])))
-                units += parts[w]
-            else:
-                units.append(w)
-    else:
+#: Marks of a word: white space only, starts with white space, one line break, more of them, ends a sentence, ends it without a space after, a comma.
+BLANK, SPACED, BREAK, BREAKS, STOP, CLOSE, COMMA = (1 << i for i in range(7))
+_STOP = re.compile(r"""[.!?…]+["'”’»)\]]*\Z""")
+_CLOSE = re.compile(r"[。！？][」』）]*\Z")
+#: Kinds of natural boundaries, the strongest first.
+KINDS = ("paragraph", "line", "sentence", "word")
+
+
+def marks(word: str) -> int:
+    lines = word.count("\n")
+    return (
+        BLANK * word.isspace() + SPACED * word[0].isspace() + BREAK * (lines == 1) + BREAKS * (lines > 1)
+        + STOP * bool(_STOP.search(word)) + CLOSE * bool(_CLOSE.search(word)) + COMMA * (word[-1] in ",;、，；")
+    )
+
+
+class Splitter:
+    """Pieces of texts by the tokens of an Encoder. Words are the units: a cut between words changes no token but those of
+    white space at a piece's end. Words of more than half of the overlap (or of what a piece adds) are cut further."""
+
+    def __init__(self, enc: Encoder, limit: int, overlap: int):
+        self.enc, self.limit, self.overlap = enc, limit, overlap
+        self.most = max(1, min(overlap or limit, limit - overlap) // 2)
+        self.store: list[str] | None = None
+
+    def learn_marks(self) -> None:
+        """Marks and lengths of the encoder's new words."""
+        if self.store is not self.enc.words:
+            self.store, self.marks, self.chars = self.enc.words, np.empty(0, np.uint8), np.empty(0, np.int64)
+        new = self.store[len(self.marks) :]
+        if new:
+            self.marks = np.concatenate((self.marks, np.fromiter(map(marks, new), np.uint8, len(new))))
+            self.chars = np.concatenate((self.chars, np.fromiter(map(len, new), np.int64, len(new))))
+
+    def fragments(self, word: int) -> list[str]:
+        """A word cut after whole characters into parts of about self.most of its tokens."""
+        enc = self.enc
+        ids = enc.ids[enc.start[word] : enc.start[word] + enc.size[word]].tolist()
+        raw, cuts, want = enc.words[word].encode(), [0], self.most
+        for k, e in enumerate(accumulate(len(enc.pairs.token_bytes[i]) for i in ids), 1):
+            if e == len(raw) or (k >= want and raw[e] & 0xC0 != 0x80):
+                cuts.append(e)
+                want = k + self.most
+        return [raw[x:y].decode() for x, y in zip(cuts, cuts[1:], strict=False)]
+
+    def prepare(self, words: np.ndarray) -> dict[int, list[int]]:
+        """For each long word among words, its fragments' indexes in the encoder's store."""
+        enc = self.enc
+        long = np.unique(words[enc.size[words] > self.most]).tolist()
+        parts = {w: self.fragments(w) for w in long}
+        enc.learn([f for fs in parts.values() for f in fs])
+        self.learn_marks()
+        return {w: [enc.of[f] for f in fs] for w, fs in parts.items()}
+
+    def boundaries(self, units: np.ndarray) -> list[list[int]]:
+        """By KINDS, the sorted units before which a text may be cut."""
+        m = self.marks[units]
+        blank, spaced = (m & BLANK) > 0, (m & SPACED) > 0
+        breaks = np.where(m & BREAKS, 2, np.where(m & BREAK, 1, 0)) * blank
+        run = breaks[:-1].copy()
+        run[1:] += np.where(blank[1:-1], breaks[:-2], 0)
+        here = ~blank[1:]
+        after = (m[:-1] & STOP > 0) & spaced[1:] | (m[:-1] & CLOSE > 0)
+        word = spaced[1:] | blank[:-1] | (m[:-1] & COMMA > 0)
+        return [(np.flatnonzero(x) + 1).tolist() for x in (here & (run > 1), here & (run == 1), after, word)]
+
+    def cut(self, text: str, words: np.ndarray, parts: dict[int, list[int]]) -> list[tuple[int, int, int, str]]:
+        """Pieces of text, whose words' indexes are given: (first character, end character, tokens, kind of the cut at the end).
+
+        Token counts are prefix sums over the units, boundaries sorted arrays of token offsets. From a piece's start the
+        last boundary within limit is found by binary search: of the strongest kind that leaves the piece at least half
+        full, else of the strongest kind there is, else at any unit ('hard'). The next piece starts at the last unit at
+        least overlap tokens, of the whole text's encoding, before the cut. A piece's own tokens are counted. Pieces
+        cover the text and advance always; none exceeds limit but a single character that does. Where what a piece adds
+        would not fit beside the whole overlap, the overlap is shorter.
+        """
+        enc, limit, overlap = self.enc, self.limit, self.overlap
+        inner: set[int] = set()
         units = words
-    tokens = [0, *accumulate(enc.size[list(map(enc.of.__getitem__, units))].tolist())]
-    chars = [0, *accumulate(map(len, units))]
-    places = []
-    for kind, pattern in BOUNDARIES:
-        ends = [m.end() for m in pattern.finditer(text)]
-        at = np.searchsorted(chars, ends) if ends else np.empty(0, int)
-        exact = [int(k) for k, e in zip(at, ends, strict=True) if k < len(chars) and chars[k] == e]
-        places.append((kind, exact, [tokens[k] for k in exact]))
-    out = []
-    start = done = 0
-    last = len(chars) - 1
-    while True:
-        top = tokens[start] + limit
-        if tokens[-1] <= top:
-            end, kind = last, "end"
-        else:
-            end, kind = 0, ""
-            for least in (max(tokens[done], tokens[start] + max(overlap, limit // 2)), tokens[done]):
-                for name, exact, offsets in places:
-                    k = bisect_right(offsets, top) - 1
-                    if k >= 0 and offsets[k] > least:
-                        end, kind = exact[k], name
+        if parts:
+            long = np.flatnonzero(enc.size[words] > self.most)
+            if len(long):
+                out, at, n = [], 0, 0
+                for i in long.tolist():
+                    own = parts[int(words[i])]
+                    out += [words[at:i], np.array(own, np.int64)]
+                    n += i - at
+                    inner.update(range(n + 1, n + len(own)))
+                    n, at = n + len(own), i + 1
+                units = np.concatenate([*out, words[at:]])
+        tokens = [0, *np.cumsum(enc.size[units]).tolist()]
+        chars = [0, *np.cumsum(self.chars[units]).tolist()]
+        blank = (self.marks[units] & BLANK) > 0
+        places = [(kind, k, [tokens[i] for i in k]) for kind, k in zip(KINDS, self.boundaries(units), strict=True)]
+        pieces = []
+        start = done = 0
+        last = len(units)
+        while True:
+            top = tokens[start] + limit
+            if tokens[-1] <= top:
+                end, kind = last, "end"
+            else:
+                end, kind = 0, ""
+                for least in (max(tokens[done], tokens[start] + max(overlap, limit // 2)), tokens[done]):
+                    for name, at, offsets in places:
+                        k = bisect_right(offsets, top) - 1
+                        if k >= 0 and offsets[k] > least:
+                            end, kind = at[k], name
+                            break
+                    if kind:
                         break
-                if kind:
-                    break
-            if not kind:
-                end, kind = max(bisect_right(tokens, top) - 1, done + 1), "hard"
-        if start in inner or end in inner:
-            whole = enc.count([text[chars[start] : chars[end]]])[0]
-        else:
-            k = end
-            while kind != "end" and k > start and units[k - 1].isspace():
-                k -= 1
-            whole = tokens[k] - tokens[start]
-            if k < end:
-                space = text[chars[k] : chars[end]]
-                enc.learn((space,))
-                whole += enc.size[enc.of[space]]
-        while whole > limit and end - 1 > done:  # parts of one word may join to other tokens, and white space at an end to fewer
-            end, kind = end - 1, "hard"
-            whole = enc.count([text[chars[start] : chars[end]]])[0]
-        out.append((chars[start], chars[end], int(whole), kind))
-        if end == last:
-            return out
-        start, done = max(bisect_right(tokens, tokens[end] - overlap) - 1, start + 1), end
+                if not kind:
+                    end, kind = max(bisect_right(tokens, top) - 1, done + 1), "hard"
+            if start in inner or end in inner:
+                whole = int(enc.count([text[chars[start] : chars[end]]])[0])
+            else:
+                k = end
+                while kind != "end" and k > start and blank[k - 1]:
+                    k -= 1
+                whole = tokens[k] - tokens[start]
+                if k < end:
+                    space = text[chars[k] : chars[end]]
+                    enc.learn((space,))
+                    whole += int(enc.size[enc.of[space]])
+            while whole > limit and end - 1 > done:  # parts of one word may join to other tokens
+                end, kind = end - 1, "hard"
+                whole = int(enc.count([text[chars[start] : chars[end]]])[0])
+            while whole > limit and start < done:  # one more unit is more than limit less overlap: the overlap gives way
+                start += 1
+                whole = int(enc.count([text[chars[start] : chars[end]]])[0])
+            pieces.append((chars[start], chars[end], whole, kind))
+            if end == last:
+                return pieces
+            start, done = max(bisect_right(tokens, tokens[end] - overlap) - 1, start + 1), end
+
+
+def split_block(splitter: Splitter, texts: list[str | None]) -> list[list[tuple[int, int, int, str]]]:
+    """The pieces of each text; one, with the cut 'end', for a text within the limit, none for an empty or null one."""
+    enc, limit = splitter.enc, splitter.limit
+    at, counts = enc.look_up([t or "" for t in texts])
+    ends = np.cumsum(counts)
+    tokens = np.r_[0, np.cumsum(enc.size[at])]
+    sizes = (tokens[ends] - tokens[ends - counts]).tolist()
+    large = [i for i, n in enumerate(sizes) if n > limit]
+    words = {i: at[ends[i] - counts[i] : ends[i]] for i in large}
+    parts = splitter.prepare(np.concatenate(list(words.values()))) if large else {}
+    return [splitter.cut(t, words[i], parts) if i in words else [(0, len(t), n, "end")] if t else [] for i, (t, n) in enumerate(zip(texts, sizes, strict=True))]
 
 
 def split_texts(df: DataFrame, limit: int, overlap: int, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """key (as long), piece, start_pos, end_pos, n_tokens, cut, piece_text of every text, by cut_text.
+    """key (as long), piece, start_pos, end_pos, n_tokens, cut, piece_text of every text, by Splitter.cut.
 
     A text of at most limit tokens is one piece, its cut 'end'; empty and null texts have no pieces. Positions count
     code points. piece counts from 0. overlap must be less than limit. One narrow pass without shuffle, in blocks of
@@ -128,14 +176,9 @@ def split_texts(df: DataFrame, limit: int, overlap: int, key: str = "doc_id", te
     schema = pa.schema([("key", pa.int64()), ("piece", pa.int32()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("n_tokens", pa.int32()), ("cut", pa.string()), ("piece_text", pa.string())])
 
     def run(batches):
-        enc = encoder(path)
+        splitter = Splitter(encoder(path), limit, overlap)
         for keys, texts in blocks(batches, BLOCK_CHARS):
-            counts = enc.count([t or "" for t in texts]).tolist()
-            rows = [(k, 0, 0, len(t), n, "end", t) for k, t, n in zip(keys, texts, counts, strict=True) if t and n <= limit]
-            large = [(k, t) for k, t, n in zip(keys, texts, counts, strict=True) if n > limit]
-            words, parts = prepare(enc, [t for _, t in large], most_in_atom(limit, overlap))
-            for (k, t), ws in zip(large, words, strict=True):
-                rows += [(k, i, a, b, m, kind, t[a:b]) for i, (a, b, m, kind) in enumerate(cut_text(enc, t, ws, parts, limit, overlap))]
+            rows = [(k, i, a, b, n, kind, t[a:b]) for k, t, pieces in zip(keys, texts, split_block(splitter, texts), strict=True) for i, (a, b, n, kind) in enumerate(pieces)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
