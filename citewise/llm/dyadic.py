@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Values keep DIGITS + 1 leading bits, codes have LEVELS bits; a level of more than WIDTH nodes has ROWS rows of WIDTH counters.
 DIGITS, LEVELS, WIDTH, ROWS = 11, 16, 1024, 5
 PRIME = 2**31 - 1
 _rng = np.random.default_rng(20260603)
+#: Groups of at most so many codes keep them as they are, in cells -1 - code, until they combine to more.
+SPARSE = 2048
 #: By level and row: multipliers and offsets of the hashes for the counter and the sign.
 SEEDS = _rng.integers(1, PRIME, size=(LEVELS, ROWS, 4)).tolist()
 SKETCHED = [level for level in range(LEVELS) if 2 ** (LEVELS - level) > WIDTH]
@@ -62,18 +64,28 @@ def update(df: DataFrame, groups: list[str], value: str, weight: Column | None =
 
     weight: copies of each row, 1 by default; negative ones delete. Null and negative values are left out. Equal codes
     are counted before they are spread over the levels, and counters combine before each shuffle, so a group that owns
-    most rows is no heavier than its counters (N_CELLS at most).
+    most rows is no heavier than its codes (2**LEVELS at most) and counters (N_CELLS). groups may not be named code,
+    cell, at or n.
     """
-    codes = df.select(*groups, encode(F.col(value)).alias("code"), (F.lit(1) if weight is None else weight).cast("long").alias("w")).where("code is not null")
-    codes = codes.groupBy(*groups, "code").agg(F.sum("w").alias("w"))
-    cells = codes.select(*groups, "w", F.explode(F.array(*_cells(F.col("code")))).alias("at"))
-    signed = F.when(F.col("at") % 2 == 1, -F.col("w")).otherwise(F.col("w"))
-    return cells.select(*groups, F.shiftright("at", 1).alias("cell"), signed.alias("n")).groupBy(*groups, "cell").agg(F.sum("n").alias("n")).where("n != 0")
+    codes = df.select(*groups, encode(F.col(value)).alias("code"), (F.lit(1) if weight is None else weight).cast("long").alias("n")).where("code is not null")
+    return _reduce(codes.groupBy(*groups, "code").agg(F.sum("n").alias("n")).withColumn("cell", -1 - F.col("code")), groups)
+
+
+def _reduce(cells: DataFrame, groups: list[str]) -> DataFrame:
+    """Codes spread over the levels in groups that have more than SPARSE of them or counters already."""
+    own = Window.partitionBy(*groups)
+    dense = (F.count_if(F.col("cell") < 0).over(own) > SPARSE) | (F.max("cell").over(own) >= 0)
+    rows = cells.where("n != 0").select(*groups, "cell", "n", dense.alias("__dense"))
+    code = -1 - F.col("cell")
+    at = F.when((F.col("cell") < 0) & F.col("__dense"), F.array(*_cells(code))).otherwise(F.array(F.col("cell") * 2))
+    spread = rows.select(*groups, "n", F.explode(at).alias("at"))
+    signed = F.when(F.pmod("at", F.lit(2)) == 1, -F.col("n")).otherwise(F.col("n"))
+    return spread.select(*groups, F.shiftright("at", 1).alias("cell"), signed.alias("n")).groupBy(*groups, "cell").agg(F.sum("n").alias("n")).where("n != 0")
 
 
 def combine(sketches: DataFrame, groups: list[str]) -> DataFrame:
     """Sketches added up to groups, as days to the whole; the same as the sketch of all rows at once."""
-    return sketches.groupBy(*groups, "cell").agg(F.sum("n").alias("n")).where("n != 0")
+    return _reduce(sketches.groupBy(*groups, "cell").agg(F.sum("n").alias("n")), groups)
 
 
 def subtract(a: DataFrame, b: DataFrame, groups: list[str]) -> DataFrame:
@@ -110,19 +122,28 @@ def quantiles(sketches: DataFrame, groups: list[str], probs: tuple[float, ...] =
     Error: the value's code has a rank within about sqrt(len(SKETCHED) * F2 / WIDTH) of the one asked for, where F2 is
     the sum of squared counts of a sketched level's nodes outside exact ones: under one percent of n unless nearly all
     rows fall within 2**len(SKETCHED) neighbouring codes; and codes hold the value within 2**-(DIGITS + 1) of itself.
-    A group arrives as its counters, at most N_CELLS rows.
+    Groups kept as their
+    codes have exact ranks. A group arrives as its counters, at most N_CELLS rows.
     """
     names = [f"p{p * 100:g}".replace(".", "_") for p in probs]
     kinds = dict(sketches.dtypes)
     schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "n long", *(f"{x} double" for x in names)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, counts = pdf["cell"].to_numpy(), pdf["n"].to_numpy()
+        sparse = bool((at < 0).all())
         cells = np.zeros(N_CELLS, np.int64)
-        cells[pdf["cell"].to_numpy()] = pdf["n"].to_numpy()
-        n = int(cells[FIRST[LEVELS]])
+        if not sparse:
+            cells[at] = counts
+        n = int(counts.sum()) if sparse else int(cells[FIRST[LEVELS]])
         if n <= 0:
             return pd.DataFrame(columns=[*groups, "n", *names])
-        codes = np.array([rank_to_code(cells, max(1, int(np.ceil(p * n - 1e-9)))) for p in probs])
+        ranks = [max(1, int(np.ceil(p * n - 1e-9))) for p in probs]
+        if sparse:
+            order = np.argsort(-at)
+            codes = (-1 - at[order])[np.searchsorted(np.cumsum(counts[order]), ranks)]
+        else:
+            codes = np.array([rank_to_code(cells, r) for r in ranks])
         return pd.DataFrame([[*(pdf[g].iloc[0] for g in groups), n, *decode(codes).tolist()]], columns=[*groups, "n", *names])
 
     return sketches.groupBy(*groups).applyInPandas(run, schema)
