@@ -19,7 +19,8 @@ def _results(audits: DataFrame) -> DataFrame:
     """audit_id and the parsed result of each audit's latest row that has one; damaged results give none."""
     text = audits.where("result is not null").groupBy(F.col("id").alias("audit_id")).agg(F.max_by("result", "loaded_at").alias("result"))
     inner = F.when(F.col("result").startswith('"'), F.from_json(F.concat(F.lit('{"v":'), "result", F.lit("}")), "v string")["v"]).otherwise(F.col("result"))
-    return text.select("audit_id", F.from_json(inner, RESULT).alias("r"))
+    whole = text.select("audit_id", inner.alias("json")).where(F.try_parse_json("json").isNotNull())
+    return whole.select("audit_id", F.from_json("json", RESULT).alias("r"))
 
 
 def audit_answers(audits: DataFrame) -> DataFrame:

@@ -45,11 +45,13 @@ def confusion(df: DataFrame, a: str, b: str, labels: list[str]) -> DataFrame:
 
 def kappa(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """by, n, observed, expected, kappa (6 digits; null where expected is 1) of two codings; rows with a null are left out."""
+    if not by:
+        return kappa(df.select(F.lit(0).alias("__all"), a, b), ["__all"], a, b).drop("__all")
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     side = lambda c: cells.groupBy(*by, F.col(c).alias("label")).agg(F.sum("n").alias(f"n_{c}"))
     both = side("a").join(side("b"), [*by, "label"], "full").groupBy(*by).agg(F.sum(F.coalesce("n_a", F.lit(0)).cast("double") * F.coalesce("n_b", F.lit(0))).alias("e"))
     agree = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
-    j = agree.join(both, by) if by else agree.crossJoin(both)
+    j = agree.join(both, by)
     po, pe = F.col("same") / F.col("n"), F.col("e") / (F.col("n").cast("double") * F.col("n"))
     return j.select(*by, "n", F.round(po, 6).alias("observed"), F.round(pe, 6).alias("expected"), F.when(F.abs(1 - pe) > 1e-9, F.round((po - pe) / (1 - pe), 6)).alias("kappa"))
 
