@@ -10,6 +10,11 @@ from citewise.operators.shred import element_paths, entity_table, shred
 from citewise.sources.tables import table
 
 
+SERP_FIELDS = ("type", "rank_group", "rank_absolute", "title", "domain", "url")
+ANCHOR_FIELDS = ("type", "anchor", "rank", "backlinks", "referring_domains", "first_seen")
+ANSWER_FIELDS = ("engine", "questionId", "question", "mentioned", "rank", "sentiment")
+
+
 def p1_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_rolling(table(spark, sf_dir, "gsc_daily"))
 
@@ -44,15 +49,15 @@ def p6_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_serp_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_table(table(spark, sf_dir, "dfs_serp_advanced"), "record_id", "payload", "fetched_at", "tasks[].result[].items[]", ("type", "rank_group", "rank_absolute", "title", "domain", "url"))
+    return entity_table(table(spark, sf_dir, "dfs_serp_advanced"), "record_id", "payload", "fetched_at", "tasks[].result[].items[]", SERP_FIELDS)
 
 
 def p6_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_table(table(spark, sf_dir, "dfs_backlinks_anchors"), "record_id", "payload", "fetched_at", "tasks[].result[].items[]", ("type", "anchor", "rank", "backlinks", "referring_domains", "first_seen"))
+    return entity_table(table(spark, sf_dir, "dfs_backlinks_anchors"), "record_id", "payload", "fetched_at", "tasks[].result[].items[]", ANCHOR_FIELDS)
 
 
 def p6_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_table(table(spark, sf_dir, "audits"), "id", "result", "loaded_at", "matrix[]", ("engine", "questionId", "question", "mentioned", "rank", "sentiment"))
+    return entity_table(table(spark, sf_dir, "audits"), "id", "result", "loaded_at", "matrix[]", ANSWER_FIELDS)
 
 
 QUERIES = {f.__name__: f for f in (p1_rolling, p3_found, p3_counts, p6_found, p6_nodes, p6_serp_items, p6_anchors, p6_answers)}
@@ -100,3 +105,34 @@ WINDOW w7 AS (PARTITION BY page ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURREN
     "p3_found": _ORPHANS + "SELECT src_table, record_id, state FROM judged WHERE state IS NOT NULL",
     "p3_counts": _ORPHANS + "SELECT src_table, period, state, count(*) AS n, count(DISTINCT key) AS n_keys FROM judged WHERE state IS NOT NULL GROUP BY 1, 2, 3",
 }
+
+
+def _tree(source: str) -> str:
+    """Nodes of the valid texts of a source (src, record_id, got_at, p): json strings are read as the JSON within."""
+    return f"""
+WITH texts AS ({source}),
+inner_texts AS (SELECT src, record_id, got_at, p, CASE WHEN json_valid(p) AND json_type(p) = 'VARCHAR' THEN json_extract_string(p, '$') ELSE p END AS q FROM texts WHERE p IS NOT NULL),
+docs AS (SELECT src, record_id, got_at, p, CASE WHEN json_valid(q) THEN q END AS q FROM inner_texts WHERE json_valid(q)),
+tree AS (SELECT src, record_id, j.rowid AS node, j.* FROM docs, json_tree(docs.q) j)
+"""
+
+
+ORACLE["p6_found"] = _tree("""SELECT 'audits' AS src, id AS record_id, loaded_at AS got_at, result AS p FROM audits
+  UNION ALL SELECT 'dfs_backlinks_anchors', record_id, fetched_at, payload FROM dfs_backlinks_anchors
+  UNION ALL SELECT 'dfs_serp_advanced', record_id, fetched_at, payload FROM dfs_serp_advanced""") + r"""
+SELECT DISTINCT src, record_id, replace(regexp_replace(fullkey, '^\$\.?', ''), '"', '') AS path FROM tree WHERE type = 'OBJECT' AND ends_with(fullkey, ']')"""
+
+
+def _entities(table_name: str, record_id: str, text: str, at: str, shape: str, fields: tuple[str, ...]) -> str:
+    values = ", ".join(f"""max(CASE WHEN t.fullkey = o.fullkey || '.{f}' AND t.type NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(t.value, '$') END) AS "{f}" """ for f in fields)
+    latest = f"SELECT 's' AS src, {record_id} AS record_id, {at} AS got_at, {text} AS p FROM (SELECT DISTINCT {record_id}, {at}, {text} FROM {table_name} WHERE {text} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {record_id} ORDER BY {at} DESC) = 1)"
+    return _tree(latest) + rf"""
+, o AS (SELECT record_id, fullkey, id, key, parent, node FROM tree WHERE type = 'OBJECT' AND regexp_matches(fullkey, '^\$\.{shape}$'))
+SELECT o.record_id, o.node::int AS node, b.node::int AS parent_node, o.key::int AS ordinal, regexp_replace(o.fullkey, '^\$\.?', '') AS path, {values}
+FROM o JOIN tree a ON a.record_id = o.record_id AND a.id = o.parent JOIN tree b ON b.record_id = o.record_id AND b.id = a.parent
+  LEFT JOIN tree t ON t.record_id = o.record_id AND t.parent = o.id GROUP BY 1, 2, 3, 4, 5"""
+
+
+ORACLE["p6_serp_items"] = _entities("dfs_serp_advanced", "record_id", "payload", "fetched_at", r"tasks\[\d+\]\.result\[\d+\]\.items\[\d+\]", SERP_FIELDS)
+ORACLE["p6_anchors"] = _entities("dfs_backlinks_anchors", "record_id", "payload", "fetched_at", r"tasks\[\d+\]\.result\[\d+\]\.items\[\d+\]", ANCHOR_FIELDS)
+ORACLE["p6_answers"] = _entities("audits", "id", "result", "loaded_at", r"matrix\[\d+\]", ANSWER_FIELDS)
