@@ -127,7 +127,7 @@ _LABELS = {
 }
 IDS = [re.compile(rf"(?<![\w-])(?i:{label}){_NO}((?-i:{value}))(?![\w])") for label, value in _LABELS.items()]
 
-_SEP = r"(?: ?[./-] ?| )"
+_SEP = r"(?: ?/ ?|[.-]| )"
 _EXT = r"(?:,? ?(?:ext\.?|x|extension|poste|Durchwahl|DW) ?\d{1,5})?"
 PHONES = [
     re.compile(rf"(?<![\w+.-])\+\d{{1,3}}(?:{_SEP}?\(\d{{1,4}}\))?(?:{_SEP}?\d{{1,12}}){{1,7}}{_EXT}(?![\w])"),
