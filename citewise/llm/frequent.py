@@ -109,12 +109,32 @@ def estimates(merged: DataFrame) -> DataFrame:
 
 
 def frequent(df: DataFrame, fields: tuple[str, ...], k: int = 50) -> DataFrame:
-    """field, place, item, n_least, n_most: the k values of each field with the greatest n_most; n_most >= true rows >= n_least.
+    """field, place, item, n_least, n_most: exactly the k values of each field with most rows, in a second counted scan; n_least = n_most = rows.
 
     Ties go to the smaller hash. Equal values written differently are different values. An empty table gives no rows.
+    The k-th greatest n_least is reached by k values, so none below it is among the k. A value that reaches it either
+    has it as n_most in a bucket or is in a cell that alone reaches it: the rows of these cells are counted, and only
+    the numbers of the cells (CELLS a field at most) are collected and broadcast.
     """
-    place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n_most"), "hash"))
-    return estimates(merge(sketch(df, fields))).withColumn("place", place).where(F.col("place") <= k).select("field", "place", "item", "n_least", "n_most")
+    merged = merge(sketch(df, fields)).persist()
+    held = estimates(merged)
+    place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n_least"), "hash"))
+    kth = held.select("field", "n_least", place.alias("place")).where(F.col("place") <= k).groupBy("field").agg(F.when(F.count("*") == k, F.min("n_least")).otherwise(1).alias("least"))
+    least = {r["field"]: r["least"] for r in kth.collect()}
+    reach = F.lit(False)
+    for f, n in least.items():
+        reach = reach | ((F.col("field") == f) & (F.col("n") >= n))
+    near = held.select("field", cell_of("hash").alias("cell"), F.col("n_most").alias("n")).where(reach)
+    cells = near.unionByName(merged.where("cell is not null").select("field", "cell", "n").where(reach)).select("field", "cell").distinct().collect()
+    merged.unpersist()
+    out = None
+    for f in fields:
+        own = df.select(F.col(f).alias("item")).where(F.col("item") != "").withColumn("hash", F.xxhash64("item")).withColumn("own_cell", cell_of("hash"))
+        mine = df.sparkSession.createDataFrame([(r["cell"],) for r in cells if r["field"] == f], "own_cell int")
+        counted = own.join(F.broadcast(mine), "own_cell", "left_semi").groupBy("item", "hash").agg(F.count("*").alias("n_least")).where(F.col("n_least") >= least.get(f, 1))
+        part = counted.select(F.lit(f).alias("field"), "item", "hash", "n_least", F.col("n_least").alias("n_most"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("place", place).where(F.col("place") <= k).select("field", "place", "item", "n_least", "n_most")
 
 
 def at_least(df: DataFrame, fields: tuple[str, ...], share: float, n_rows: int | None = None) -> DataFrame:

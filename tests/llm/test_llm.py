@@ -208,6 +208,20 @@ def test_frequent(spark, monkeypatch):
     assert frequent.frequent(df.limit(0), ("query",)).count() == 0
 
 
+def test_frequent_of_one_bucket(spark):
+    """Two frequent values that share a bucket both come out, with their rows."""
+    hashes = spark.range(4000).selectExpr("concat('v', id) as item").withColumn("h", F.xxhash64("item")).collect()
+    by_bucket: dict[int, list[str]] = {}
+    for r in hashes:
+        by_bucket.setdefault((r["h"] >> frequent.BUCKET_SHIFT) & (frequent.BUCKETS - 1), []).append(r["item"])
+    a, b = next(x for x in by_bucket.values() if len(x) > 1)[:2]
+    true = Counter({a: 900, b: 300} | {f"w{i}": 250 - i for i in range(8)} | {f"r{i}": 1 for i in range(3000)})
+    data = [(x,) for x, n in true.items() for _ in range(n)]
+    random.Random(5).shuffle(data)
+    got = frequent.frequent(spark.createDataFrame(data, "query string").repartition(5), ("query",), 6).collect()
+    assert [(r["place"], r["item"], r["n_least"], r["n_most"]) for r in sorted(got, key=lambda r: r["place"])] == [(i + 1, x, n, n) for i, (x, n) in enumerate(true.most_common(6))]
+
+
 def test_merging_keeps_bounds(spark):
     data = [(f"v{i % 40}" if i % 3 else f"r{i}",) for i in range(6000)]
     true = Counter(x for (x,) in data)
