@@ -72,10 +72,13 @@ def cannibalised(rows: DataFrame, brand: str, least: int = 20, share: int = 10,
 
 
 def momentum(rows: DataFrame, by: list[str], last_day: Column, days: int = 28) -> DataFrame:
-    """by, clicks, clicks_before, score: the last days against as many before; score is clamp(50 + change/40*50) with one digit, null under 20 clicks."""
+    """by, clicks, clicks_before, score: the last days against as many before; score is clamp(50 + change/40*50) with one digit, null under 20 clicks.
+
+    change is in percent of clicks_before, and 100 where that is 0.
+    """
     age = F.datediff(last_day, F.col("day"))
     agg = rows.groupBy(*by).agg(F.sum(F.when(age.between(0, days - 1), F.col("clicks")).otherwise(0)).alias("clicks"), F.sum(F.when(age.between(days, 2 * days - 1), F.col("clicks")).otherwise(0)).alias("clicks_before"))
-    change = F.try_divide((F.col("clicks") - F.col("clicks_before")) * 100.0, F.col("clicks_before"))
+    change = F.when(F.col("clicks_before") == 0, 100.0).otherwise(F.try_divide((F.col("clicks") - F.col("clicks_before")) * 100.0, F.col("clicks_before")))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + change / 40 * 50))
     return agg.select(*by, "clicks", "clicks_before", F.when(F.col("clicks") + F.col("clicks_before") >= 20, F.round(score, 1)).alias("score"))
 

@@ -201,6 +201,14 @@ def console_momentum(spark: SparkSession, d: str) -> DataFrame:
     return C.momentum(C.console_rows(table(spark, d, "gsc_daily")), ["page"], F.lit("2026-09-30").cast("date")).where("clicks_before > 0")
 
 
+@query(CONSOLE + """, a AS (SELECT page, sum(CASE WHEN date_diff('day', day, DATE '2026-09-30') BETWEEN 0 AND 27 THEN clicks ELSE 0 END)::bigint AS clicks,
+  sum(CASE WHEN date_diff('day', day, DATE '2026-09-30') BETWEEN 28 AND 55 THEN clicks ELSE 0 END)::bigint AS clicks_before FROM r GROUP BY 1)
+SELECT page, clicks, clicks_before, CASE WHEN clicks + clicks_before >= 20 THEN round(CASE WHEN clicks_before = 0 THEN 100.0 ELSE greatest(0.0, least(100.0, 50 + ((clicks - clicks_before) * 100.0::double / nullif(clicks_before, 0)) / 40 * 50)) END, 1) END AS score FROM a""")
+def console_momentum_all(spark: SparkSession, d: str) -> DataFrame:
+    """console_momentum of every page, those without clicks before too."""
+    return C.momentum(C.console_rows(table(spark, d, "gsc_daily")), ["page"], F.lit("2026-09-30").cast("date"))
+
+
 @query(CONSOLE + f""", a AS (SELECT page, query, {SUMS} FROM r WHERE impressions > 0 GROUP BY 1, 2), q AS (SELECT page, {METRICS} FROM a)
 SELECT page, count(*) FILTER (position >= 0 AND position < 1.5) AS pos_1, count(*) FILTER (position >= 1.5 AND position < 3.5) AS pos_2_3, count(*) FILTER (position >= 3.5 AND position < 10.5) AS pos_4_10,
   count(*) FILTER (position >= 10.5 AND position < 20.5) AS pos_11_20, count(*) FILTER (position >= 20.5 AND position < 50.5) AS pos_21_50, count(*) FILTER (position >= 50.5 AND position < 101) AS pos_51_100 FROM q GROUP BY 1""")

@@ -221,6 +221,16 @@ def test_text(spark):
     assert rows(P.ngram_density(df, [], "t", 2, top=2)) == [(1, "cat sat", 10, 0.2041), (2, "it ran", 10, 0.2041)]
 
 
+def test_momentum_of_pages_without_clicks_before(spark, tmp_path):
+    from citewise.plans.analytics import QUERIES
+
+    pull = datetime(2026, 10, 2)
+    data = [("2026-09-20", "new", "q", 25), ("2026-09-20", "few", "q", 5), ("2026-09-20", "old", "q", 12), ("2026-08-20", "old", "q", 10), ("2026-08-20", "gone", "q", 30), ("2026-09-20", "none", "q", None)]
+    spark.createDataFrame([(*r, 100, 1.0, pull) for r in data], "date string, page string, query string, clicks int, impressions int, position double, pulled_at timestamp_ntz").write.parquet(f"{tmp_path}/gsc_daily.parquet")
+    got = rows(QUERIES["console_momentum_all"](spark, str(tmp_path)))
+    assert got == [("few", 5, 0, None), ("gone", 0, 30, 0.0), ("new", 25, 0, 100.0), ("none", 0, 0, None), ("old", 12, 10, 75.0)]
+
+
 def test_limits():
     s = None
     seen = []
