@@ -80,6 +80,43 @@ def ngram_density(df: DataFrame, by: list[str], text: str, n: int, top: int = 15
     return best.join(total, by).select(*by, "place", "ngram", "count", F.round(F.col("count") / F.col("total"), 4).alias("share"))
 
 
+# Words that no n-gram begins or ends with, and words as the page tools count them, with inner apostrophes and hyphens.
+STOP_WORDS = tuple(
+    "a an and are as at be but by for from has have he her his i if in into is it its me my no not of on or our she so than that the their them then there these they this to too us was we were what when where which who "
+    "why will with you your can do does did just also more most about over up out all any been being both each few how only other own same some such very s t now one get".split()
+)
+PHRASE_WORD = r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*"
+
+
+def phrase_density(df: DataFrame, by: list[str], text: str, top: int = 15, least: int = 2) -> DataFrame:
+    """by, n, place, ngram, count, share (of all words, count * n / words, 4 digits): the commonest runs of 1, 2 and 3 words in by.
+
+    A run neither begins nor ends with a stop word and holds no number and no word of one letter. Runs counted least
+    times come out, top of each n; ties by name. Each word gives at most three rows, combined before the shuffle.
+    """
+    w = F.regexp_extract_all(F.lower(text), F.lit(PHRASE_WORD), 0)
+    after = lambda n: F.slice("w", n, F.greatest(F.size("w"), F.lit(1)))
+    words = df.select(*by, w.alias("w")).where(F.size("w") > 0)
+    words = words.select(*by, F.explode(F.arrays_zip(F.col("w").alias("a"), after(2).alias("b"), after(3).alias("c"))).alias("z")).select(*by, "z.a", "z.b", "z.c")
+    edge = lambda c: ~F.col(c).isin(*STOP_WORDS)
+    fine = lambda c: (F.length(c) >= 2) & ~F.col(c).rlike("^[0-9]+$")
+    words = words.select(*by, "a", "b", "c", *((edge(x) & fine(x)).alias(f"{x}_edge") for x in "abc"), fine("b").alias("b_fine"))
+    grams = [
+        F.when(F.col("a_edge"), F.col("a")),
+        F.when(F.col("a_edge") & F.col("b_edge"), F.concat_ws(" ", "a", "b")),
+        F.when(F.col("a_edge") & F.col("b_fine") & F.col("c_edge"), F.concat_ws(" ", "a", "b", "c")),
+    ]
+    # words that are no n-gram stay as nulls of n = 1: the counts of n = 1 add up to all words
+    rows = words.select(*by, F.inline(F.array(*(F.struct(F.lit(i + 1).alias("n"), g.alias("ngram")) for i, g in enumerate(grams))))).where("n = 1 or ngram is not null")
+    c = rows.groupBy(*by, "n", "ngram").agg(F.count("*").alias("count"))
+    # both sides read c as it is, with no filter that would be pushed below its exchange, so that it is made once
+    total = c.groupBy(*by).agg(F.sum(F.when(F.col("n") == 1, F.col("count"))).alias("words"))
+    first = Window.partitionBy(*by, "n").orderBy(F.desc("count"), "ngram")
+    best = c.where(F.when(F.col("ngram").isNotNull(), F.col("count")).otherwise(0) >= max(least, 1)).withColumn("place", F.row_number().over(first)).where(F.col("place") <= top)
+    joined = best.alias("x").join(total.alias("y"), [F.col(f"x.{b}").eqNullSafe(F.col(f"y.{b}")) for b in by])
+    return joined.select(*(F.col(f"x.{b}").alias(b) for b in by), "n", "place", "ngram", "count", F.round(F.col("count") * F.col("n") / F.col("words"), 4).alias("share"))
+
+
 def title_overlap(title: Column, other: Column) -> Column:
     """Jaccard of the words of two texts; 0 if either has none."""
     a, b = F.array_distinct(X.tokens(title)), F.array_distinct(X.tokens(other))

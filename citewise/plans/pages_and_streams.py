@@ -149,6 +149,20 @@ def word_pairs(spark: SparkSession, d: str) -> DataFrame:
     return P.ngram_density(table(spark, d, "documents").where("doc_type in ('faq', 'table')"), ["doc_type"], "text", 2)
 
 
+def _prose(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, doc_type and text of every document; of page sources the main text that a reader sees."""
+    docs = table(spark, d, "documents").select("doc_id", "doc_type", "text")
+    page = F.coalesce(F.col("doc_type") == "page_html", F.lit(False))
+    main = parse_pages(docs.where(page), "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("page_html").alias("doc_type"), F.col("main_text").alias("text"))
+    return docs.where(~page).unionByName(main)
+
+
+@query()
+def phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases of one, two and three words of all documents by doc_type."""
+    return P.phrase_density(_prose(spark, d), ["doc_type"], "text")
+
+
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     name = f"windows_{uuid4().hex}"

@@ -1,7 +1,10 @@
 import json
+import re
+from collections import Counter
 from datetime import datetime
 
 import pytest
+import regex
 from conftest import rows
 from hypothesis import given
 from hypothesis import strategies as st
@@ -221,6 +224,38 @@ def test_text(spark):
     assert rows(P.ngram_density(df, [], "t", 2, top=2)) == [(1, "cat sat", 10, 0.2041), (2, "it ran", 10, 0.2041)]
 
 
+def test_phrases_of_all_documents(spark, small):
+    """Brute force over every document by the rules of the page tools."""
+    from pathlib import Path
+
+    from citewise.plans.pages_and_streams import QUERIES
+
+    docs = spark.read.parquet(str(Path(small, "documents.parquet"))).select("doc_type", "text").collect()
+    word = regex.compile(P.PHRASE_WORD)
+    count, words = Counter(), Counter()
+    for kind, text in docs:
+        w = word.findall(((page_facts(text)["main_text"] if text else "") if kind == "page_html" else text or "").lower())
+        words[kind] += len(w)
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                g = w[i : i + n]
+                if not (g[0] in P.STOP_WORDS or g[-1] in P.STOP_WORDS or any(len(x) < 2 or re.fullmatch("[0-9]+", x) for x in g)):
+                    count[kind, n, " ".join(g)] += 1
+    want = []
+    for kind, n in {(k, n) for k, n, _ in count}:
+        best = sorted(((-c, g.encode(), g) for (k, m, g), c in count.items() if (k, m) == (kind, n) and c >= 2))[:15]
+        want += [(kind, n, i + 1, g, -c) for i, (c, _, g) in enumerate(best)]
+    got = QUERIES["phrases"](spark, small).collect()
+    assert sorted((r["doc_type"], r["n"], r["place"], r["ngram"], r["count"]) for r in got) == sorted(want)
+    assert {r["doc_type"] for r in got} == {k for k, _, _ in count} and {r["n"] for r in got} == {1, 2, 3}
+    assert all(abs(r["share"] - r["count"] * r["n"] / words[r["doc_type"]]) <= 0.000051 for r in got)
+
+
+def test_phrase_rules(spark):
+    df = spark.createDataFrame([("the quick fox of the 42 quick fox b quick fox's den",), ("the quick fox of the den",), (None,), ("",)], "t string").withColumn("k", F.lit("x"))
+    assert rows(P.phrase_density(df, ["k"], "t").select("n", "ngram", "count")) == [(1, "den", 2), (1, "fox", 3), (1, "quick", 4), (2, "quick fox", 3)]
+
+
 def test_momentum_of_pages_without_clicks_before(spark, tmp_path):
     from citewise.plans.analytics import QUERIES
 
