@@ -193,6 +193,69 @@ def element_paths(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     return out.distinct()
 
 
+def objects(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """src, record_id, doc, node, parent_node, label, ordinal, shape, path, fields of every object, at any depth, once per record and text.
+
+    sources: name to (rows, id, JSON column). node, label, ordinal, shape, path and doc are those of shred, parent_node
+    is the nearest containing object (null at the root); fields maps the labels of the scalar children to their values
+    as strings (null for null). An object that stands alone and one in an array differ in shape and ordinal only.
+    """
+    ddl = "src string, record_id string, doc long, node int, parent_node int, label string, ordinal int, shape string, path string, fields map<string, string>"
+    types = [("src", pa.string()), ("record_id", pa.string()), ("doc", pa.int64()), ("node", pa.int32()), ("parent_node", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("shape", pa.string()), ("path", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))]
+    schema = pa.schema(types)
+
+    def run(batches):
+        rows: list[tuple] = []
+
+        def flush():
+            cols = list(zip(*rows, strict=True)) or [[]] * len(schema)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for src, rid, doc, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                try:
+                    value = parse_json(body)
+                except (ValueError, RecursionError):
+                    continue
+                fields: dict[int, dict] = {}
+                found = []
+                for me, _, owner, label, ordinal, kind, scalar, shape, path in nodes(value):
+                    if kind == "object":
+                        fields[me] = {}
+                        found.append((me, owner, label, ordinal, shape, path))
+                    elif kind != "array" and ordinal is None and owner is not None:
+                        fields[owner][label] = scalar
+                for o in found:
+                    rows.append((src, rid, doc, *o, list(fields[o[0]].items())))
+                    if len(rows) >= ROWS_OUT:
+                        yield flush()
+        yield flush()
+
+    out = None
+    for name, (df, rid, text) in sources.items():
+        own = df.where(F.col(text).isNotNull()).select(F.lit(name).alias("src"), F.col(rid).cast("string").alias("record_id"), F.xxhash64(text).alias("doc"), F.col(text).alias("text"))
+        part = own.mapInArrow(run, ddl)
+        out = part if out is None else out.unionByName(part)
+    return out.dropDuplicates(["src", "record_id", "doc", "node"])
+
+
+def entity_tables(found: DataFrame, most: int = 10_000) -> dict[tuple[str, str], DataFrame]:
+    """A flat table for each source and shape of objects(): record_id, doc, node, parent_node, ordinal, path and a column f_LABEL for each scalar label met.
+
+    The shapes and labels are collected, as many as the sources' schema has; more than most raise ValueError. Cut or
+    persist found before if many tables are read.
+    """
+    met = found.select("src", "shape", F.explode_outer(F.map_keys("fields")).alias("label")).distinct().limit(most + 1).collect()
+    if len(met) > most:
+        raise ValueError(f"more than {most} shapes and labels")
+    labels: dict[tuple[str, str], list[str]] = {}
+    for src, shape, label in met:
+        labels.setdefault((src, shape), []).extend([label] if label is not None else [])
+    keys = ("record_id", "doc", "node", "parent_node", "ordinal", "path")
+    return {(src, shape): found.where((F.col("src") == src) & (F.col("shape") == shape)).select(*keys, *(F.try_element_at("fields", F.lit(x)).alias(f"f_{x}") for x in sorted(own))) for (src, shape), own in labels.items()}
+
+
 def entity_table(df: DataFrame, record_id: str, text: str, at: str, shape: str, fields: tuple[str, ...]) -> DataFrame:
     """One row per object of a shape (as 'tasks[].result[].items[]'), of each record's latest text.
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from citewise.operators.orphans import orphan_counts, orphan_references
 from citewise.operators.rolling import page_rolling
-from citewise.operators.shred import element_paths, entity_table, shred
+from citewise.operators.shred import element_paths, entity_table, objects, shred
 from citewise.sources.tables import table
 
 
@@ -45,7 +46,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred(table(spark, sf_dir, "dfs_serp_advanced"), "record_id", "payload")
+    out = None
+    for name, (df, rid, text) in _sources(spark, sf_dir).items():
+        part = shred(df, rid, text).select(F.lit(name).alias("src"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p6_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objects(_sources(spark, sf_dir))
 
 
 def p6_serp_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +69,7 @@ def p6_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_table(table(spark, sf_dir, "audits"), "id", "result", "loaded_at", "matrix[]", ANSWER_FIELDS)
 
 
-QUERIES = {f.__name__: f for f in (p1_rolling, p3_found, p3_counts, p6_found, p6_nodes, p6_serp_items, p6_anchors, p6_answers)}
+QUERIES = {f.__name__: f for f in (p1_rolling, p3_found, p3_counts, p6_found, p6_nodes, p6_objects, p6_serp_items, p6_anchors, p6_answers)}
 
 _DAY = """coalesce(
   try_strptime(regexp_extract(trim(date), '^([0-9]{4}-[0-9]{2}-[0-9]{2})([T ].*)?$', 1), '%Y-%m-%d'),

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from citewise.operators.shred import _parse_deep, element_paths, entity_table, nodes, parse_json, shred
+from citewise.operators.shred import _parse_deep, element_paths, entity_table, entity_tables, nodes, objects, parse_json, shred
 
 JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda c: st.lists(c, max_size=4) | st.dictionaries(st.text(max_size=4), c, max_size=4), max_leaves=20)
 
@@ -87,3 +87,31 @@ def test_adjacency(spark):
     df = spark.createDataFrame([("r", '{"a": [true, "\\ud800"], "b": 1.50}', T)], SCHEMA)
     got = [(r["node"], r["parent"], r["owner"], r["label"], r["ordinal"], r["kind"], r["scalar"]) for r in shred(df, "record_id", "payload").orderBy("node").collect()]
     assert got == [(0, None, None, None, None, "object", None), (1, 0, 0, "a", None, "array", None), (2, 1, 0, "a", 0, "bool", "true"), (3, 1, 0, "a", 1, "string", "?"), (4, 0, 0, "b", None, "number", "1.50")]
+
+
+def test_objects_of_every_shape(spark):
+    text = json.dumps({"a": [{"x": 1, "in": [{"y": "p"}, 5, {"y": None, "deep": {"z": True}}]}, [{"q": 2}]], "items": {"x": "alone"}})
+    df = spark.createDataFrame([("r", text), ("r", text), ("r", "{"), ("s", json.dumps(json.dumps({"x": 3}))), (None, None)], "id string, t string")
+    found = objects({"one": (df, "id", "t")})
+    all_ = {r["path"]: r for r in found.where("record_id = 'r'").collect()}
+    assert found.where("record_id = 'r'").count() == len(all_)
+    assert {p: r["fields"] for p, r in all_.items()} == {"": {}, "a[0]": {"x": "1"}, "a[0].in[0]": {"y": "p"}, "a[0].in[2]": {"y": None}, "a[0].in[2].deep": {"z": "true"}, "a[1][0]": {"q": "2"}, "items": {"x": "alone"}}
+    above = {r["node"]: p for p, r in all_.items()}
+    assert {p: above.get(r["parent_node"]) for p, r in all_.items()} == {"": None, "a[0]": "", "a[0].in[0]": "a[0]", "a[0].in[2]": "a[0]", "a[0].in[2].deep": "a[0].in[2]", "a[1][0]": "", "items": ""}
+    tables = entity_tables(found)
+    assert {k[1] for k in tables} == {"", "a[]", "a[].in[]", "a[].in[].deep", "a[][]", "items"}
+    assert sorted((r["path"], r["ordinal"], r["f_y"] or "") for r in tables["one", "a[].in[]"].collect()) == [("a[0].in[0]", 0, "p"), ("a[0].in[2]", 2, "")]
+    assert [(r["record_id"], r["f_x"]) for r in tables["one", ""].where("record_id = 's'").collect()] == [("s", "3")]
+    with pytest.raises(ValueError):
+        entity_tables(found, 2)
+
+
+def test_nodes_and_objects_of_all_sources(spark, small):
+    from citewise.plans.problems import QUERIES
+
+    kinds = QUERIES["p6_nodes"](spark, small).where("kind = 'object'").select("src", "record_id", "doc", "node", "owner", "path").distinct()
+    got = QUERIES["p6_objects"](spark, small)
+    assert {r["src"] for r in kinds.select("src").distinct().collect()} == {"audits", "dfs_backlinks_anchors", "dfs_serp_advanced"}
+    assert rows(got.select("src", "record_id", "doc", "node", "parent_node", "path")) == rows(kinds)
+    paths = got.where("ordinal is not null").select("src", "record_id", "path").distinct()
+    assert rows(paths) == rows(QUERIES["p6_found"](spark, small))
