@@ -136,9 +136,17 @@ def text_counts(spark: SparkSession, d: str) -> DataFrame:
     return P.text_measures(table(spark, d, "documents").where("text is not null"), "doc_id", "text").select("doc_id", "n_words", "n_sentences")
 
 
+def _prose(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, doc_type and text of every document; of page sources the main text that a reader sees."""
+    docs = table(spark, d, "documents").select("doc_id", "doc_type", "text")
+    page = F.coalesce(F.col("doc_type") == "page_html", F.lit(False))
+    main = parse_pages(docs.where(page), "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("page_html").alias("doc_type"), F.col("main_text").alias("text"))
+    return docs.where(~page).unionByName(main)
+
+
 @query()
 def reading_ease(spark: SparkSession, d: str) -> DataFrame:
-    return P.text_measures(table(spark, d, "documents").where("lang = 'en' and doc_type in ('answer', 'article', 'faq')"), "doc_id", "text")
+    return P.text_measures(_prose(spark, d), "doc_id", "text")
 
 
 @query(r"""WITH t AS (SELECT doc_type, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_type IN ('faq', 'table')),
@@ -149,14 +157,6 @@ def word_pairs(spark: SparkSession, d: str) -> DataFrame:
     return P.ngram_density(table(spark, d, "documents").where("doc_type in ('faq', 'table')"), ["doc_type"], "text", 2)
 
 
-def _prose(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, doc_type and text of every document; of page sources the main text that a reader sees."""
-    docs = table(spark, d, "documents").select("doc_id", "doc_type", "text")
-    page = F.coalesce(F.col("doc_type") == "page_html", F.lit(False))
-    main = parse_pages(docs.where(page), "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("page_html").alias("doc_type"), F.col("main_text").alias("text"))
-    return docs.where(~page).unionByName(main)
-
-
 @query()
 def phrases(spark: SparkSession, d: str) -> DataFrame:
     """Phrases of one, two and three words of all documents by doc_type."""
