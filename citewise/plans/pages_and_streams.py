@@ -59,6 +59,15 @@ def log_agents(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("r.token", "r.category", F.array_join("providers", ";").alias("providers")).agg(F.count("*").alias("n"))
 
 
+@query(LINES + f"""SELECT split_part(t, '|', 1) AS token, split_part(t, '|', 2) AS category, providers, count(*) AS n FROM (
+  SELECT {_TOKEN} AS t, CASE WHEN v4 THEN concat_ws(';', CASE WHEN net AND h >= 128 THEN 'high' END, CASE WHEN net AND h < 128 THEN 'low' END, CASE WHEN net AND h = 7 THEN 'one' END, CASE WHEN starts_with(p.ip, '192.0.') THEN 'wide' END) ELSE '' END AS providers
+  FROM (SELECT *, regexp_matches(p.ip, '^(25[0-5]|2[0-4]\\d|1?\\d?\\d)([.](25[0-5]|2[0-4]\\d|1?\\d?\\d)){{3}}$') AS v4, starts_with(p.ip, '192.0.2.') AS net, try_cast(split_part(p.ip, '.', 4) AS int) AS h FROM g WHERE ok)) GROUP BY 1, 2, 3""")
+def log_agents_all(spark: SparkSession, d: str) -> DataFrame:
+    """log_agents of every valid line; providers is empty for addresses outside the ranges or not IPv4."""
+    rows = M.in_ranges(_lines(spark, d).where("ok"), "ip", RANGES).withColumn("r", M.first_rule(F.col("agent"), AGENT_RULES))
+    return rows.groupBy("r.token", "r.category", F.array_join("providers", ";").alias("providers")).agg(F.count("*").alias("n"))
+
+
 ROBOTS = """
 User-Agent: ExampleBot
 Disallow: /blog/

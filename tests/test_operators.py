@@ -273,6 +273,15 @@ def test_reading_ease_of_all_english_documents(spark, tmp_path):
     assert ease is not None and got[4]["n_words"] == got[1]["n_words"] and got[7]["n_words"] is None
 
 
+def test_log_agents_of_all_addresses(spark, tmp_path):
+    from citewise.plans.pages_and_streams import QUERIES
+
+    line = '{} - - [01/Sep/2026:00:00:00 +0000] "GET / HTTP/1.1" 200 5 "-" "GallioBot/1"'
+    ips = ["192.0.2.7", "192.0.2.200", "192.0.9.1", "2.0.2.117", "2001:db8::1", "192.0.2.300"]
+    spark.createDataFrame([(1, "log", "\n".join([*map(line.format, ips), "no line"]))], "doc_id long, doc_type string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(QUERIES["log_agents_all"](spark, str(tmp_path)).select("token", "providers", "n")) == [("GallioBot", "", 3), ("GallioBot", "high;wide", 1), ("GallioBot", "low;one;wide", 1), ("GallioBot", "wide", 1)]
+
+
 def test_momentum_of_pages_without_clicks_before(spark, tmp_path):
     from citewise.plans.analytics import QUERIES
 
