@@ -25,10 +25,11 @@ def tagged(df: DataFrame, tag: str, key: str, at: str | None = None) -> DataFram
 def orphan_references(children: dict[str, tuple[DataFrame, str, str]], parents: DataFrame, deletions: DataFrame, *, parent_id: str = "id", deleted_id: str = "audit_id", loaded_at: str = "loaded_at", created_at: str = "created_at") -> DataFrame:
     """Records whose reference is an orphan: src_table, record_id, key, period, state.
 
-    children: table name to (rows, id column, reference column). Tagged parent and child keys are unioned in long form
-    and grouped by key: that leaves per key whether a parent, a deletion or neither came and when the parent first
-    did. Keys without the parent's flag are orphans ('missing', or 'deleted' if the log has them); records that came
-    before a key's first parent row are 'late'. Copies of a record count once, with their earliest loaded_at; period
+    children: table name to (rows, id column, reference column). Tagged parent and deletion keys are unioned in long
+    form and grouped by key: that leaves per key whether a parent or a deletion came and when the parent first did.
+    Records join these keys from the left: those of a key without the parent's flag are orphans ('missing', or
+    'deleted' if the log has it), those that came before the key's first parent row are 'late'. Child keys are no part
+    of the union, as each record meets its key's parent time in the join anyway; they are counted to find hot keys. Copies of a record count once, with their earliest loaded_at; period
     is the first day of the month of created_at. A null id is no record. If a record's copies disagree on the key,
     each key is judged and the record comes out once per orphan key.
 
