@@ -46,6 +46,9 @@ LETTER = UP + LOW
 
 _AT_WORD = re.compile(r"(?<=\w) (?:AT|\(AT\)|@|\[at\]|\(at\)|\{at\}|\[ at \]|\( at \)) (?=\w)|(?<=[\w+-])(?:\(at\)|\[at\]|\{at\}|\(AT\)|\[AT\])(?=\w)")
 _DOT = re.compile(r"(?<=\w) (?:DOT|\[dot\]|\(dot\)|\{dot\}|\[ dot \]|\(DOT\)|\[DOT\]|\.) (?=\w)|(?<=\w)(?:\[dot\]|\(dot\)|\{dot\}|\(DOT\)|\[DOT\])(?=\w)")
+# Words before "at" that are no mailbox.
+NO_MAILBOX = "look|looking|find|found|us|me|it|see|sold|buy|shop|store|available|live|online|site|website|page|are|is|was|work|working|works|here|there|back|order|ordered|visit|read|more"
+_LOWER = re.compile(rf"(?<![\w.+%@-])(?!(?:{NO_MAILBOX}) at )[\w+%'-]+(?:(?: dot |\.)[\w+%'-]+)* at [\w-]+(?:(?: dot |\.)[\w-]+)* dot [a-z]{{2,24}}(?![\w-])", re.I)
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:double |triple )?(?:{_WORDS})(?:[ ,-]+|(?!\w))){{6,}}", re.I)
 _STRANGE = re.compile(f"[{''.join(LOOKALIKES)}{DASHES}{INVISIBLE}\u00a0\u2000-\u200a\u202f\u205f\u3000\uff01-\uff5e\u2460-\u24ff’ʼ]|[\U0001d400-\U0001d7ff]")
@@ -108,6 +111,8 @@ def normalised(text: str) -> View:
     if not text.isascii():
         v.rewrite(_STRANGE, _plain)
     v.rewrite(_SPELLED, _digits)
+    if " dot " in v.text.lower():
+        v.rewrite(_LOWER, lambda m: re.sub(" dot ", ".", re.sub(" at ", "@", m[0], flags=re.I), flags=re.I))
     v.rewrite(_AT_WORD, lambda m: "@")
     if "@" in v.text:
         v.rewrite(_DOT, lambda m: ".")
@@ -162,6 +167,16 @@ PERSONS = [
     re.compile(rf"(?<![\w@.-])(?:{_GIVEN}|{_GIVEN_UP})(?![\w@]|-[{LOW}]){_NOT_AFTER}(?: [{UP}]\.(?!\w))?"),
     re.compile(rf"(?<![\w@.-])(?=[{UP}])(?i:{_FAMILY})(?![\w@])"),
 ]
+# What stands before a name that need not be in any list.
+SELF = "my name is|my name's|ich heiße|mein Name ist|je m'appelle|mon nom est|me llamo|mi nombre es"
+SIGNED = "kind regards|best regards|warm regards|regards|sincerely|yours|cheers|many thanks|mit freundlichen Grüßen|viele Grüße|cordialement|saludos"
+_PART = rf"(?!(?:{'|'.join(NOT_FAMILY)}|The|And|Our|We|I|It|Please)\b)(?:O'|Mc|Mac|D')?[{UP}][{LOW}]+(?:[-'][{UP}][{LOW}]+)*"
+_SHAPE = rf"(?:{_PART}|[{UP}]\.)(?: [{UP}]\.)*(?: (?:{PARTICLES}))?(?: {_PART}){{1,2}}"
+IN_CONTEXT = [
+    re.compile(rf"(?<![\w])(?i:{SELF}) ({_SHAPE}|{_PART})(?![\w@&-]|\.\w| (?:{'|'.join(NOT_FAMILY)})\b)"),
+    re.compile(rf"(?<![\w])(?i:{SIGNED})(?:, ?|,?\s*\n\s*)({_SHAPE})(?=\s*(?:\Z|\n))"),
+    re.compile(rf"(?:(?<=\n)|\A)(?i:dear|hello|hi|hallo|bonjour|hola|liebe|lieber|estimado|estimada) (?:(?:Mrs?|Ms|Dr|Herr|Frau|Mme)\.? )?({_SHAPE})(?=[,!]?\s*\n|,)"),
+]
 ALONE = re.compile(rf"\s*(?i:({_GIVEN}))\s*\Z")
 _THING = rf"[{UP}][\w'-]+(?: [{UP}][\w'-]+){{0,2}}"
 PRODUCTS = re.compile(rf"{_THING}(?:(?:,| and| und| et| y| &) {_THING})* (?:are|is|sont|est|sind|son) (?:our|a|the|unsere|nos|nuestros) (?:products?|brands?|playlists?|Produkte|produits|productos)\b")
@@ -202,6 +217,8 @@ def find(text: str, name: bool = False) -> list[tuple[str, int, int]]:
     body = _mask(body, [m.span() for m in PRODUCTS.finditer(body)])
     for p in PERSONS:
         take("person", [m.span() for m in p.finditer(body)])
+    for p in IN_CONTEXT:
+        take("person", [m.span(1) for m in p.finditer(body)])
     if name and (m := ALONE.match(body)):
         take("person", [m.span(1)])
     return sorted((k, *v.source(a, b)) for k, a, b in out) if len(out) < 2 else sorted(((k, *v.source(a, b)) for k, a, b in out), key=lambda x: x[1:])
