@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewise.operators.orphans import orphan_counts, orphan_references
+from citewise.operators.orphans import References
 from citewise.operators.rolling import page_rolling
 from citewise.operators.shred import element_paths, entity_table, objects, shred
 from citewise.sources.tables import table
@@ -20,17 +20,17 @@ def p1_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_rolling(table(spark, sf_dir, "gsc_daily"))
 
 
-def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    children = {name: (table(spark, sf_dir, name), "id", "last_audit_id" if name == "monitors" else "audit_id") for name in ("api_requests", "report_orders", "leads", "monitors")}
-    return orphan_references(children, table(spark, sf_dir, "audits"), table(spark, sf_dir, "audit_deletions"))
+def _references(spark: SparkSession, sf_dir: str, created_at: str | None = "created_at") -> References:
+    children = {name: (table(spark, sf_dir, name), "id", "last_audit_id" if name == "monitors" else "audit_id", "audits") for name in ("api_requests", "report_orders", "leads", "monitors")}
+    return References(children, {"audits": (table(spark, sf_dir, "audits"), "id", table(spark, sf_dir, "audit_deletions"), "audit_id")}, created_at=created_at)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orphans(spark, sf_dir).select("src_table", "record_id", "state")
+    return _references(spark, sf_dir, None).orphans().select("src_table", "record_id", "state")
 
 
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_counts(_orphans(spark, sf_dir))
+    return _references(spark, sf_dir).counts()
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> dict:
