@@ -1,9 +1,10 @@
 from datetime import date, datetime, timedelta
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from citewise.operators.rolling import page_rolling, read_day, rolling_totals
+from citewise.operators.rolling import latest_pull, page_rolling, read_day, rolling_totals
 
 
 def brute(data, periods, first, last):
@@ -28,6 +29,21 @@ def test_against_brute_force(spark):
     assert got == brute(data, (3, 7), date(2026, 1, 1), date(2026, 1, 10))
 
 
+def test_repeated_rows_and_long_totals(spark):
+    data = [("a", date(2026, 1, 1), 2**40), ("a", date(2026, 1, 1), 1), ("a", date(2026, 1, 2), None)]
+    got = rolling_totals(spark.createDataFrame(data, "page string, day date, clicks long"), "page", "day", ["clicks"], (2,)).orderBy("day").collect()
+    assert [r["clicks_2d_total"] for r in got] == [2**40 + 1] * 2
+
+
+def test_pull_packs_exactly(spark):
+    t = datetime(2026, 6, 5, 1, 2, 3, 456789)
+    df = spark.createDataFrame([("2026-06-03", "p", "q", 2**31 - 1, 2**31 - 1, t), ("2026-06-03", "p", "r", -(2**31), -1, t)], "date string, page string, query string, clicks int, impressions int, pulled_at timestamp_ntz")
+    got = latest_pull(df, ["query"], ("clicks", "impressions"), "pulled_at")
+    assert rows(got) == [("q", 2**31 - 1, 2**31 - 1), ("r", -(2**31), -1)]
+    with pytest.raises(ValueError):
+        latest_pull(df.withColumn("clicks", F.lit(1).cast("long")), ["query"], ("clicks", "impressions"), "pulled_at")
+
+
 def test_empty_and_calendar(spark):
     df = spark.createDataFrame([], "page string, day date, clicks long")
     assert rolling_totals(df, "page", "day", ["clicks"]).count() == 0
