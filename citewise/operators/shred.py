@@ -115,30 +115,32 @@ def nodes(value, only: str | None = None) -> Iterator[tuple]:
 
     parent is the containing node, owner the nearest containing object; label is the key under which a value, or the
     array it is in, hangs on its owner; ordinal counts positions in an array from 0; shape is path with [] for every
-    position. only='elements': just objects that are array elements.
+    position. only='containers': just objects and arrays, without shape and path, which element_links gets from the links.
     """
+    if only is not None and type(value) is not dict and type(value) is not list:
+        return
     number = 0
     stack = [(value, None, None, None, None, "", "")]
     while stack:
         value, parent, owner, label, ordinal, shape, path = stack.pop()
         me, number = number, number + 1
         if type(value) is dict:
-            if only is None or ordinal is not None:
-                yield me, parent, owner, label, ordinal, "object", None, shape, path
-            dot, sdot = (path + "." if path else ""), (shape + "." if shape else "")
-            for k in reversed(value):
-                v = value[k]
-                if only is None or type(v) is dict or type(v) is list:
+            yield me, parent, owner, label, ordinal, "object", None, shape, path
+            if only is None:
+                dot, sdot = (path + "." if path else ""), (shape + "." if shape else "")
+                for k in reversed(value):
                     name = _clean(k)
-                    stack.append((v, me, me, name, None, sdot + name, dot + name))
+                    stack.append((value[k], me, me, name, None, sdot + name, dot + name))
+            else:
+                stack.extend([(v, me, me, _clean(k), None, None, None) for k, v in reversed(value.items()) if type(v) is dict or type(v) is list])
         elif type(value) is list:
+            yield me, parent, owner, label, ordinal, "array", None, shape, path
             if only is None:
-                yield me, parent, owner, label, ordinal, "array", None, shape, path
-            inner = shape + "[]"
-            for i in range(len(value) - 1, -1, -1):
-                v = value[i]
-                if only is None or type(v) is dict or type(v) is list:
-                    stack.append((v, me, owner, label, i, inner, f"{path}[{i}]"))
+                inner = shape + "[]"
+                for i in range(len(value) - 1, -1, -1):
+                    stack.append((value[i], me, owner, label, i, inner, f"{path}[{i}]"))
+            else:
+                stack.extend([(v, me, owner, label, i, None, None) for i, v in zip(range(len(value) - 1, -1, -1), reversed(value), strict=True) if type(v) is dict or type(v) is list])
         else:
             kind, text = _scalar(value)
             yield me, parent, owner, label, ordinal, kind, text, shape, path
@@ -181,14 +183,46 @@ def shred(df: DataFrame, record_id: str, text: str, only: str | None = None, sha
     return src.mapInArrow(run, f"record_id string, doc long, {NODE}")
 
 
+def element_links(adjacency: DataFrame) -> DataFrame:
+    """record_id, path of the objects in an adjacency table that are array elements, by following the links to their parents.
+
+    The table is read as shred gives it, before any shuffle: the nodes of a text stand together, parents before their
+    children, and the root begins a text. Only the links of one text are held at a time; a path is put together for an
+    element alone, so texts of any depth cost no more than their elements' paths.
+    """
+    schema = pa.schema([("record_id", pa.string()), ("path", pa.string())])
+
+    def run(batches):
+        links: dict[int, tuple] = {}
+        for batch in batches:
+            records, out = [], []
+            for i, (kind, node, parent, label, ordinal) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 6)), strict=True)):
+                if parent is None:
+                    links = {node: (None, "")}
+                    continue
+                links[node] = (parent, f".{label}" if ordinal is None else f"[{ordinal}]")
+                if ordinal is not None and kind == "object":
+                    steps = []
+                    while node is not None:
+                        node, step = links[node]
+                        steps.append(step)
+                    path = "".join(reversed(steps))
+                    records.append(i)
+                    out.append(path[1:] if path[0] == "." else path)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(records, pa.int32())), pa.array(out, pa.string())], schema=schema)
+
+    return adjacency.select("record_id", "kind", "node", "parent", "label", "ordinal").mapInArrow(run, "record_id string, path string")
+
+
 def element_paths(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """src, record_id, path of every object that is an array's element; sources: name to (rows, id, JSON column).
 
-    Each comes out once per record, whatever the record's copies.
+    Each comes out once per record, whatever the record's copies. The paths come from the adjacency table of the
+    containers; scalars are on no other node's path and have no rows in it here.
     """
     out = None
     for name, (df, rid, text) in sources.items():
-        part = shred(df, rid, text, only="elements").select(F.lit(name).alias("src"), "record_id", "path")
+        part = element_links(shred(df, rid, text, only="containers")).select(F.lit(name).alias("src"), "record_id", "path")
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 

@@ -59,7 +59,7 @@ def test_invalid(text):
 def test_wrapped_and_deep():
     assert parse_json(json.dumps(json.dumps({"a": [1]}))) == {"a": ["1"]}
     deep = "[" * 60_000 + "{}" + "]" * 60_000
-    assert sum(1 for _ in nodes(parse_json(deep), "elements")) == 1
+    assert sum(1 for n in nodes(parse_json(deep), "containers") if n[5] == "object") == 1
 
 
 SCHEMA = "record_id string, payload string, fetched_at timestamp_ntz"
@@ -115,3 +115,11 @@ def test_nodes_and_objects_of_all_sources(spark, small):
     assert rows(got.select("src", "record_id", "doc", "node", "parent_node", "path")) == rows(kinds)
     paths = got.where("ordinal is not null").select("src", "record_id", "path").distinct()
     assert rows(paths) == rows(QUERIES["p6_found"](spark, small))
+
+
+def test_paths_follow_the_links_of_deep_and_odd_texts(spark):
+    deep = "[" * 3_000 + "{}" + "]" * 3_000
+    texts = [("a", '{"x": [{"y": {"z": [null, {"": [{}]}]}}]}'), ("b", '[{"k": [1, {}]}, []]'), ("c", "7"), ("d", deep), ("e", '{".": [{}]}'), (None, "[{}]"), ("a", '{"x": [{}]}')]
+    df = spark.createDataFrame(texts, "id string, t string").coalesce(1)
+    got = {(r["record_id"], r["path"]) for r in element_paths({"s": (df, "id", "t")}).collect()}
+    assert got == {("a", "x[0]"), ("a", "x[0].y.z[1]"), ("a", "x[0].y.z[1].[0]"), ("b", "[0]"), ("b", "[0].k[1]"), ("d", "[0]" * 3_000), ("e", "..[0]"[1:]), (None, "[0]")}
