@@ -6,7 +6,6 @@ import heapq
 import json
 import os
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -20,10 +19,9 @@ from pyspark.sql import functions as F
 TOKENIZERS = os.environ.get("CITEWISE_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern by which the public byte-level vocabularies split text before any merge.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same split in the faster matcher of the standard library. Its word class takes other numerals than decimal digits for
-#: letters and its white space has four separators more, so texts with one of UNLIKE go to SPLIT.
+#: The same split in the faster matcher of the standard library: its classes in the place of \p{L}, \p{N} and \s.
 FAST_SPLIT = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]+|_+)+|\s+(?!\S)|\s+"
-UNLIKE = frozenset(chr(c) for c in range(0x110000) if 0x1C <= c <= 0x1F or unicodedata.category(chr(c)) in ("Nl", "No"))
+CLASSES = ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s"))
 #: Text taken into one index, in characters, and words remembered between indexes.
 BLOCK_CHARS, REMEMBERED = 6_000_000, 600_000
 SHIFT = 20
@@ -36,6 +34,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def unlike() -> np.ndarray:
+    """By code point, whether the two matchers put it into different classes, found by asking both about all of them.
+
+    Both patterns are made of these classes and the same fixed characters, so they split every other text alike.
+    """
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    differ: set[str] = set()
+    for exact, fast in CLASSES:
+        differ |= set("".join(regex.findall(f"{exact}+", every))) ^ set("".join(re.findall(f"{fast}+", every)))
+    table = np.zeros(0x110000, bool)
+    table[list(map(ord, differ))] = True
+    return table
+
+
 class PairIndex:
     """The merges of one vocabulary, and encoding of many words at once."""
 
@@ -140,11 +153,11 @@ class Encoder:
 
     def __init__(self, path: str):
         self.pairs = PairIndex(path)
-        self.exact, self.fast = regex.compile(SPLIT).findall, re.compile(FAST_SPLIT).findall
+        self.exact, self.fast, self.unlike = regex.compile(SPLIT).findall, re.compile(FAST_SPLIT).findall, unlike()
         self.forget()
 
     def split(self, text: str) -> list[str]:
-        return self.fast(text) if UNLIKE.isdisjoint(text) else self.exact(text)
+        return self.exact(text) if self.unlike[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any() else self.fast(text)
 
     def forget(self) -> None:
         self.of: dict[str, int] = {}

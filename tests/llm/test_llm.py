@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from citewise.llm import dyadic, frequent
-from citewise.llm.bpe import Encoder, token_counts, token_ids, vocabulary
+from citewise.llm.bpe import Encoder, token_counts, token_ids, unlike, vocabulary
 from citewise.llm.packing import pack, sum_of_squares
 from citewise.llm.pii import View, find, normalised, personal_data, redact, redacted
 from citewise.llm.splitting import Splitter, split_block, split_texts
@@ -54,6 +55,16 @@ def _pair(enc, public):
     test_encoding_of_any_text.pair = (enc, public)
 
 
+def test_both_matchers_split_alike(enc):
+    """Every code point the faster matcher may see, alone and beside letters, digits, spaces, signs and contractions."""
+    odd = unlike()
+    for c in map(chr, chain(range(0xD800), range(0xE000, 0x110000))):
+        if not odd[ord(c)]:
+            t = f"a{c}1{c} {c}{c}_'s{c}  {c}"
+            assert enc.fast(t) == enc.exact(t), hex(ord(c))
+    assert odd[ord("Ⅷ")] and odd[0x1C] and not odd[ord("é")] and enc.split("xⅧ\x1d y") == enc.exact("xⅧ\x1d y")
+
+
 def test_memory_is_bounded(public, monkeypatch):
     import citewise.llm.bpe as bpe
 
