@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Values keep DIGITS + 1 leading bits, codes have LEVELS bits; a level of more than WIDTH nodes has ROWS rows of WIDTH counters.
-DIGITS, LEVELS, WIDTH, ROWS = 11, 16, 1024, 5
+#: Codes keep DIGITS + 1 leading bits of a value and its sign, in LEVELS bits; a level of more than WIDTH nodes has ROWS rows of WIDTH counters.
+DIGITS, LEVELS, WIDTH, ROWS = 15, 22, 1024, 5
+HALF = 2 ** (LEVELS - 1)
 PRIME = 2**31 - 1
-_rng = np.random.default_rng(20260603)
-#: Groups of at most so many codes keep them as they are, in cells -1 - code, until they combine to more.
-SPARSE = 2048
 #: By level and row: multipliers and offsets of the hashes for the counter and the sign.
-SEEDS = _rng.integers(1, PRIME, size=(LEVELS, ROWS, 4)).tolist()
+SEEDS = np.random.default_rng(20260603).integers(1, PRIME, size=(LEVELS, ROWS, 4))
 SKETCHED = [level for level in range(LEVELS) if 2 ** (LEVELS - level) > WIDTH]
 EXACT = [level for level in range(LEVELS + 1) if level not in SKETCHED]
 #: The first cell of each exact level, then of each sketched level's rows.
@@ -22,70 +21,103 @@ FIRST = {level: sum(2 ** (LEVELS - x) for x in EXACT if x < level) for level in
 _after = sum(2 ** (LEVELS - x) for x in EXACT)
 FIRST |= {level: _after + i * ROWS * WIDTH for i, level in enumerate(SKETCHED)}
 N_CELLS = _after + len(SKETCHED) * ROWS * WIDTH
+#: Rows read, and pairs of group and code held, before a worker counts equal ones together, or gives out its sketches.
+ROWS_IN, PAIRS_HELD = 200_000, 1_000_000
+#: The stated error of a rank, as a share of the rows.
+RANK_ERROR = 0.01
 
 
 def encode(value: Column) -> Column:
-    """The code of an integer >= 0: order is kept, and values of one code differ by less than 2**-DIGITS of themselves.
+    """The code of an integer of any size and sign: order is kept, and values of one code differ by less than 2**-DIGITS of themselves.
 
-    Below 2**(DIGITS + 1) each value has its own code. Negative and null values have none; those beyond the last code
-    share it.
+    Values of less than 2**(DIGITS + 1) in size have their own code. Null has none.
     """
     v = value.cast("long")
-    e = F.floor(F.log2(v.cast("double"))).cast("int")
-    one = F.lit(1).cast("long")
-    e = e + F.when(F.call_function("shiftleft", one, e + 1) <= v, 1).when(F.call_function("shiftleft", one, e) > v, -1).otherwise(0)
+    m = F.when(v >= 0, v).otherwise(F.bitwise_not(v))
+    e = F.least(F.floor(F.log2(m.cast("double"))).cast("int"), F.lit(62))
+    right = lambda n: F.call_function("shiftright", m, n)
+    e = e + F.when(right(e + 1) >= 1, 1).when(right(e) < 1, -1).otherwise(0)
     s = F.greatest(e - DIGITS, F.lit(0))
-    code = s * 2**DIGITS + F.call_function("shiftright", v, s).cast("int")
-    return F.when(v == 0, 0).when(v > 0, F.least(code, F.lit(2**LEVELS - 1))).cast("int")
+    code = F.when(m == 0, 0).otherwise(s * 2**DIGITS + right(s).cast("int"))
+    return F.when(v >= 0, code + HALF).when(v < 0, HALF - 1 - code).cast("int")
 
 
 def decode(code: np.ndarray) -> np.ndarray:
     """The middle of the values of each code."""
-    s = np.maximum(code // 2**DIGITS - 1, 0)
-    low = (code - s * 2**DIGITS) << s
-    return low + ((1 << s) - 1) / 2
+    below = code < HALF
+    size = np.where(below, HALF - 1 - code, code - HALF).astype(np.int64)
+    s = np.maximum(size // 2**DIGITS - 1, 0)
+    low = (size - s * 2**DIGITS) << s
+    middle = low + ((np.int64(1) << s) - 1) / 2
+    return np.where(below, -1 - middle, middle)
 
 
-def _cells(code: Column) -> list[Column]:
-    """For each counter that a code touches: twice its cell, plus 1 where the sign is minus."""
-    out = []
+def sketch(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counters of codes with their numbers of rows: exact for each node of the upper levels, signed and hashed below."""
+    cells = np.zeros(N_CELLS, np.int64)
     for level in EXACT:
-        out.append((F.shiftright(code, level) + FIRST[level]) * 2)
+        nodes = codes >> level
+        cells[FIRST[level] : FIRST[level] + 2 ** (LEVELS - level)] = np.bincount(nodes, counts, 2 ** (LEVELS - level)).astype(np.int64)
     for level in SKETCHED:
-        node = F.shiftright(code, level).cast("long")
-        for r, (a, b, c, d) in enumerate(SEEDS[level]):
-            cell = (node * a + b) % PRIME % WIDTH + FIRST[level] + r * WIDTH
-            out.append((cell * 2 + (node * c + d) % PRIME % 2).cast("int"))
-    return out
+        nodes = (codes >> level).astype(np.int64)
+        for r, (a, b, c, d) in enumerate(SEEDS[level].tolist()):
+            at = (nodes * a + b) % PRIME % WIDTH
+            sign = 1 - 2 * ((nodes * c + d) % PRIME % 2)
+            first = FIRST[level] + r * WIDTH
+            cells[first : first + WIDTH] = np.bincount(at, counts * sign, WIDTH).astype(np.int64)
+    return cells
 
 
 def update(df: DataFrame, groups: list[str], value: str, weight: Column | None = None) -> DataFrame:
     """Sketches of value per groups: groups, cell, n (nonzero counters only).
 
-    weight: copies of each row, 1 by default; negative ones delete. Null and negative values are left out. Equal codes
-    are counted before they are spread over the levels, and counters combine before each shuffle, so a group that owns
-    most rows is no heavier than its codes (2**LEVELS at most) and counters (N_CELLS). groups may not be named code,
-    cell, at or n.
+    weight: copies of each row, 1 by default; negative ones delete. Null values are left out. Each partition sketches
+    its own rows, equal codes of a group counted first, and gives out at most N_CELLS counters a group for every
+    PAIRS_HELD pairs of group and code; counters of one cell add up, so a group that owns most rows is no heavier than
+    its counters. groups may not be named code, cell or n.
     """
-    codes = df.select(*groups, encode(F.col(value)).alias("code"), (F.lit(1) if weight is None else weight).cast("long").alias("n")).where("code is not null")
-    return _reduce(codes.groupBy(*groups, "code").agg(F.sum("n").alias("n")).withColumn("cell", -1 - F.col("code")), groups)
-
-
-def _reduce(cells: DataFrame, groups: list[str]) -> DataFrame:
-    """Codes spread over the levels in groups that have more than SPARSE of them or counters already."""
-    own = Window.partitionBy(*groups)
-    dense = (F.count_if(F.col("cell") < 0).over(own) > SPARSE) | (F.max("cell").over(own) >= 0)
-    rows = cells.where("n != 0").select(*groups, "cell", "n", dense.alias("__dense"))
-    code = -1 - F.col("cell")
-    at = F.when((F.col("cell") < 0) & F.col("__dense"), F.array(*_cells(code))).otherwise(F.array(F.col("cell") * 2))
-    spread = rows.select(*groups, "n", F.explode(at).alias("at"))
-    signed = F.when(F.pmod("at", F.lit(2)) == 1, -F.col("n")).otherwise(F.col("n"))
-    return spread.select(*groups, F.shiftright("at", 1).alias("cell"), signed.alias("n")).groupBy(*groups, "cell").agg(F.sum("n").alias("n")).where("n != 0")
+    rows = df.select(*groups, encode(F.col(value)).alias("code"), (F.lit(1) if weight is None else weight).cast("long").alias("n")).where("code is not null")
+    kinds = dict(rows.dtypes)
+    ddl = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "cell int, n long"])
+
+    def counted(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by([*groups, "code"]).aggregate([("n", "sum")]).rename_columns([*groups, "code", "n"])
+
+    def sketches(pairs: pa.Table):
+        own = pairs.group_by(groups, use_threads=False).aggregate([("code", "list"), ("n", "list")])
+        codes, counts = own["code_list"], own["n_list"]
+        for i in range(own.num_rows):
+            cells = sketch(np.asarray(codes[i].values), np.asarray(counts[i].values))
+            at = np.flatnonzero(cells)
+            if len(at):
+                here = pa.array(np.full(len(at), i))
+                yield pa.RecordBatch.from_arrays([*(own[g].combine_chunks().take(here) for g in groups), pa.array(at, pa.int32()), pa.array(cells[at], pa.int64())], names=[*groups, "cell", "n"])
+
+    def run(batches):
+        held: list[pa.Table] = []
+        pairs, new = 0, 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            new += batch.num_rows
+            if new >= ROWS_IN:
+                held = [counted(held)]
+                pairs, new = held[0].num_rows, 0
+                if pairs >= PAIRS_HELD:
+                    yield from sketches(held[0])
+                    held = []
+        if held:
+            yield from sketches(counted(held))
+
+    return _added(rows.mapInArrow(run, ddl), groups)
+
+
+def _added(cells: DataFrame, groups: list[str]) -> DataFrame:
+    return cells.groupBy(*groups, "cell").agg(F.sum("n").alias("n")).where("n != 0")
 
 
 def combine(sketches: DataFrame, groups: list[str]) -> DataFrame:
     """Sketches added up to groups, as days to the whole; the same as the sketch of all rows at once."""
-    return _reduce(sketches.groupBy(*groups, "cell").agg(F.sum("n").alias("n")), groups)
+    return _added(sketches, groups)
 
 
 def subtract(a: DataFrame, b: DataFrame, groups: list[str]) -> DataFrame:
@@ -98,7 +130,7 @@ def estimate(cells: np.ndarray, level: int, node: int) -> int:
     if level in EXACT:
         return int(cells[FIRST[level] + node])
     got = []
-    for r, (a, b, c, d) in enumerate(SEEDS[level]):
+    for r, (a, b, c, d) in enumerate(SEEDS[level].tolist()):
         n = int(cells[FIRST[level] + r * WIDTH + (node * a + b) % PRIME % WIDTH])
         got.append(-n if (node * c + d) % PRIME % 2 else n)
     return sorted(got)[ROWS // 2]
@@ -116,34 +148,48 @@ def rank_to_code(cells: np.ndarray, rank: int) -> int:
     return node
 
 
+def names_of(probs: tuple[float, ...]) -> list[str]:
+    return [f"p{p * 100:g}".replace(".", "_") for p in probs]
+
+
 def quantiles(sketches: DataFrame, groups: list[str], probs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """groups, n and p50, p90, ... of each sketch; p is the value at rank ceil(prob * n).
 
-    Error: the value's code has a rank within about sqrt(len(SKETCHED) * F2 / WIDTH) of the one asked for, where F2 is
-    the sum of squared counts of a sketched level's nodes outside exact ones: under one percent of n unless nearly all
-    rows fall within 2**len(SKETCHED) neighbouring codes; and codes hold the value within 2**-(DIGITS + 1) of itself.
-    Groups kept as their
-    codes have exact ranks. A group arrives as its counters, at most N_CELLS rows.
+    Error: at each of the len(SKETCHED) lower levels a count is off by about sqrt(F2 / WIDTH), F2 being the sum of the
+    squared counts of that level's nodes but the few heaviest, which the median of ROWS rows takes out; altogether the
+    rank is within RANK_ERROR of the one asked for (rank_errors measures it), and codes hold the value within
+    2**-(DIGITS + 1) of itself. A group arrives as its counters, at most N_CELLS rows.
     """
-    names = [f"p{p * 100:g}".replace(".", "_") for p in probs]
+    names = names_of(probs)
     kinds = dict(sketches.dtypes)
     schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "n long", *(f"{x} double" for x in names)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, counts = pdf["cell"].to_numpy(), pdf["n"].to_numpy()
-        sparse = bool((at < 0).all())
         cells = np.zeros(N_CELLS, np.int64)
-        if not sparse:
-            cells[at] = counts
-        n = int(counts.sum()) if sparse else int(cells[FIRST[LEVELS]])
+        cells[pdf["cell"].to_numpy()] = pdf["n"].to_numpy()
+        n = int(cells[FIRST[LEVELS]])
         if n <= 0:
             return pd.DataFrame(columns=[*groups, "n", *names])
-        ranks = [max(1, int(np.ceil(p * n - 1e-9))) for p in probs]
-        if sparse:
-            order = np.argsort(-at)
-            codes = (-1 - at[order])[np.searchsorted(np.cumsum(counts[order]), ranks)]
-        else:
-            codes = np.array([rank_to_code(cells, r) for r in ranks])
+        codes = np.array([rank_to_code(cells, max(1, int(np.ceil(p * n - 1e-9)))) for p in probs])
         return pd.DataFrame([[*(pdf[g].iloc[0] for g in groups), n, *decode(codes).tolist()]], columns=[*groups, "n", *names])
 
     return sketches.groupBy(*groups).applyInPandas(run, schema)
+
+
+def rank_errors(df: DataFrame, groups: list[str], value: str, found: DataFrame, probs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+    """groups, prob, n, rank_error: how far the ranks of found's values in the rows themselves are from those asked for, as a share of n.
+
+    found: quantiles() of the groups. A value stands for all values of its code, so it counts as right from the share of
+    rows below them to the share up to them. One more counted scan; found is a row a group, and joins without its rows
+    being gathered: rows are counted before the shuffle.
+    """
+    names = names_of(probs)
+    slack = lambda q: F.abs(F.col(q)) * 2.0**-DIGITS
+    met = df.where(F.col(value).isNotNull()).select(*groups, value).groupBy(*groups, value).agg(F.count("*").alias("__n"))
+    own = found.select(*(F.col(g).alias(f"__{i}") for i, g in enumerate(groups)), *names)
+    match = [F.col(g).eqNullSafe(F.col(f"__{i}")) for i, g in enumerate(groups)]
+    met = met.join(own, match)
+    sums = [f for q in names for f in (F.sum(F.when(F.col(value) < F.col(q) - slack(q), F.col("__n")).otherwise(0)).alias(f"{q}_below"), F.sum(F.when(F.col(value) <= F.col(q) + slack(q), F.col("__n")).otherwise(0)).alias(f"{q}_upto"))]
+    wide = met.groupBy(*groups).agg(F.sum("__n").alias("n"), *sums)
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("prob"), F.greatest(F.lit(0.0), F.col(f"{q}_below") / F.col("n") - p, p - F.col(f"{q}_upto") / F.col("n")).alias("rank_error")) for p, q in zip(probs, names, strict=True)))).alias("x")
+    return wide.select(*groups, "n", each).select(*groups, "x.prob", "n", "x.rank_error")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citewise.llm.bpe import token_counts, token_ids
-from citewise.llm.dyadic import combine, quantiles, update
+from citewise.llm.dyadic import RANK_ERROR, combine, quantiles, rank_errors, update
 from citewise.llm.frequent import at_least, frequent
 from citewise.llm.packing import pack
 from citewise.llm.pii import personal_data, redacted
@@ -16,24 +16,37 @@ from citewise.sources.tables import table
 CONTAINER_TOKENS, PIECE_TOKENS, PIECE_OVERLAP = 2048, 512, 64
 
 
-def _daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches per endpoint, metric and day of creation; each request counts once, endpoints in one spelling."""
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """endpoint, day, metric, v of every request, counted once, endpoints in one spelling; impossible (negative) values left out."""
     requests = table(spark, sf_dir, "api_requests")
     # copies agree in all of these columns, so grouping by them and the id leaves one row each
     once = requests.where("id is not null").select("id", "endpoint", F.to_date("created_at").alias("day"), "duration_ms", "cost_micro_usd").distinct()
-    endpoint = F.regexp_replace(F.regexp_replace(F.trim("endpoint"), r"\s+", " "), r"(?<=.)/+$", "")
-    endpoint = F.concat(F.upper(F.substring_index(endpoint, " ", 1)), F.lit(" "), F.expr("substring_index(e, ' ', -1)"))
-    once = once.withColumn("e", F.regexp_replace(F.regexp_replace(F.trim("endpoint"), r"\s+", " "), r"(?<=.)/+$", "")).withColumn("endpoint", endpoint)
-    long = once.select("endpoint", "day", F.explode(F.array(F.struct(F.lit("duration_ms").alias("metric"), F.col("duration_ms").alias("v")), F.struct(F.lit("cost_micro_usd").alias("metric"), F.col("cost_micro_usd").alias("v")))).alias("x"))
-    return update(long.select("endpoint", "day", F.col("x.metric").alias("metric"), F.col("x.v").alias("v")), ["endpoint", "metric", "day"], "v")
+    bare = F.regexp_replace(F.regexp_replace(F.trim("endpoint"), r"\s+", " "), r"(?<=.)/+$", "")
+    endpoint = F.concat(F.upper(F.substring_index(bare, " ", 1)), F.lit(" "), F.substring_index(bare, " ", -1))
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("duration_ms", "cost_micro_usd")))
+    return once.select(endpoint.alias("endpoint"), "day", F.inline(each)).where("v >= 0")
+
+
+BY_ENDPOINT, BY_DAY = ["endpoint", "metric"], ["endpoint", "metric", "day"]
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles(combine(_daily_sketches(spark, sf_dir), ["endpoint", "metric"]), ["endpoint", "metric"])
+    return quantiles(update(_metrics(spark, sf_dir), BY_ENDPOINT, "v"), BY_ENDPOINT)
 
 
 def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles(_daily_sketches(spark, sf_dir), ["endpoint", "metric", "day"])
+    return quantiles(update(_metrics(spark, sf_dir), BY_DAY, "v"), BY_DAY)
+
+
+def p2_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days' sketches added up to the whole."""
+    return quantiles(combine(update(_metrics(spark, sf_dir), BY_DAY, "v"), BY_ENDPOINT), BY_ENDPOINT)
+
+
+def p2_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the ranks of p2_percentiles are within the stated error, by a count of all rows."""
+    errors = rank_errors(_metrics(spark, sf_dir), BY_ENDPOINT, "v", p2_percentiles(spark, sf_dir))
+    return errors.select(*BY_ENDPOINT, "prob", "n", (F.col("rank_error") <= RANK_ERROR).alias("within"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +78,14 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), PIECE_TOKENS, PIECE_OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p4_found, p4_frequent, p5_found, p5_redacted, p7_ids, p8_containers, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p2_days_combined, p2_accuracy, p4_found, p4_frequent, p5_found, p5_redacted, p7_ids, p8_containers, p9_pieces)}
 ORACLE: dict[str, str] = {
+    "p2_accuracy": r"""
+WITH once AS (SELECT DISTINCT id, endpoint, created_at::date AS day, duration_ms, cost_micro_usd FROM api_requests WHERE id IS NOT NULL),
+bare AS (SELECT regexp_replace(regexp_replace(trim(endpoint), '\s+', ' ', 'g'), '(.)/+$', '\1') AS e, duration_ms, cost_micro_usd FROM once),
+long AS (SELECT e, 'duration_ms' AS metric, duration_ms AS v FROM bare UNION ALL SELECT e, 'cost_micro_usd', cost_micro_usd FROM bare)
+SELECT upper(regexp_extract(e, '^[^ ]*')) || ' ' || regexp_extract(e, '[^ ]*$') AS endpoint, metric, p.prob, count(*) AS n, true AS within
+FROM long CROSS JOIN (SELECT unnest([0.5, 0.9, 0.95, 0.99])::double AS prob) p WHERE v >= 0 GROUP BY 1, 2, 3""",
     "p4_found": """
 WITH long AS (SELECT 'page' AS field, page AS item FROM gsc_daily UNION ALL SELECT 'query', query FROM gsc_daily)
 SELECT field, item FROM long WHERE item IS NOT NULL AND item <> '' GROUP BY 1, 2 HAVING count(*) >= 0.01 * (SELECT count(*) FROM gsc_daily)""",

@@ -278,17 +278,26 @@ def test_merging_keeps_bounds(spark):
 
 
 def test_codes(spark):
-    values = [0, 1, 4095, 4096, 4097, 10**6, 2**31 - 1, 2**40 + 12345]
+    values = [-(2**63), -(2**40) - 12345, -70000, -65537, -65536, -1, 0, 1, 65535, 65536, 65537, 10**6, 2**31 - 1, 2**40 + 12345, 2**53 + 1, 2**62, 2**63 - 1]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(dyadic.encode(F.col("v"))).collect()]
-    assert got == sorted(got)
+    assert got == sorted(got) and 0 <= got[0] and got[-1] < 2**dyadic.LEVELS
+    assert len(set(got[3:11])) == 8
     back = dyadic.decode(np.array(got))
-    assert all(abs(b - v) <= max(0.0, v * 2.0 ** -(dyadic.DIGITS + 1)) + 0.5 * (v > 4095) for b, v in zip(back, values, strict=True))
-    assert [r[0] for r in spark.createDataFrame([(-1,), (None,)], "v long").select(dyadic.encode(F.col("v"))).collect()] == [None, None]
+    assert all(abs(float(b) - v) <= abs(v) * 2.0 ** -(dyadic.DIGITS + 1) * 1.01 for b, v in zip(back, values, strict=True))
+    assert [r[0] for r in spark.createDataFrame([(None,)], "v long").select(dyadic.encode(F.col("v"))).collect()] == [None]
+
+
+def test_sketch_holds_less_than_the_codes():
+    """Every group is sketched; the lower levels have fewer counters than nodes."""
+    assert dyadic.N_CELLS * 50 < 2**dyadic.LEVELS
+    assert all(len(dyadic.SKETCHED) * dyadic.ROWS * dyadic.WIDTH < 2 ** (dyadic.LEVELS - level) for level in dyadic.SKETCHED[:5])
+    cells = dyadic.sketch(np.array([dyadic.HALF + 7]), np.array([3]))
+    assert int((cells != 0).sum()) == len(dyadic.EXACT) + dyadic.ROWS * len(dyadic.SKETCHED)
 
 
 def table(spark, n=20000):
     rng = random.Random(4)
-    data = [("a" if i % 3 else "b", i % 5, int(rng.lognormvariate(8, 2)) if i % 4 else 0) for i in range(n)] + [("a", 1, None), ("a", 1, -7), ("only null", 1, None)]
+    data = [("a" if i % 3 else "b", i % 5, int(rng.lognormvariate(8, 2)) if i % 4 else 0) for i in range(n)] + [("a", 1, None), ("a", 1, -7), ("only null", 1, None), (None, 1, 5)]
     return data, spark.createDataFrame(data, "g string, day int, v long").withColumn("cell", F.lit("clash")).withColumn("w", F.lit("clash"))
 
 
@@ -300,14 +309,16 @@ def test_percentiles_days_and_deletions(spark):
     rest = dyadic.subtract(whole, dyadic.combine(days.where("day = 2"), ["g"]), ["g"])
     assert rows(rest.select("g", "cell", "n")) == rows(dyadic.update(df.where("day <> 2"), ["g"], "v").select("g", "cell", "n"))
     got = {r["g"]: r for r in dyadic.quantiles(whole, ["g"], (0.1, 0.5, 0.9, 0.99)).collect()}
-    assert set(got) == {"a", "b"}
+    assert set(got) == {"a", "b", None}
     for g, r in got.items():
-        v = np.sort([x for k, _, x in data if k == g and x is not None and x >= 0])
+        v = np.sort([x for k, _, x in data if k == g and x is not None])
         assert r["n"] == len(v)
         for p, name in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"), (0.99, "p99")):
             slack = r[name] * 2.0**-dyadic.DIGITS
             low, high = np.searchsorted(v, r[name] - slack) / len(v), np.searchsorted(v, r[name] + slack, "right") / len(v)
             assert low - 0.01 <= p <= high + 0.01
+    errors = dyadic.rank_errors(df, ["g"], "v", dyadic.quantiles(whole, ["g"])).collect()
+    assert len(errors) == 12 and all(r["rank_error"] <= dyadic.RANK_ERROR for r in errors)
     assert dyadic.quantiles(dyadic.update(df.limit(0), ["g"], "v"), ["g"]).count() == 0
     negative = df.withColumn("sign", F.lit(-1))
     gone = dyadic.combine(whole.unionByName(dyadic.update(negative, ["g"], "v", F.col("sign"))), ["g"])
