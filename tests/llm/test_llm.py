@@ -281,7 +281,7 @@ def test_codes(spark):
     values = [-(2**63), -(2**40) - 12345, -70000, -65537, -65536, -1, 0, 1, 65535, 65536, 65537, 10**6, 2**31 - 1, 2**40 + 12345, 2**53 + 1, 2**62, 2**63 - 1]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(dyadic.encode(F.col("v"))).collect()]
     assert got == sorted(got) and 0 <= got[0] and got[-1] < 2**dyadic.LEVELS
-    assert len(set(got[3:11])) == 8
+    assert len(set(got[3:11])) == 7  # 65536 and 65537 share one
     back = dyadic.decode(np.array(got))
     assert all(abs(float(b) - v) <= abs(v) * 2.0 ** -(dyadic.DIGITS + 1) * 1.01 for b, v in zip(back, values, strict=True))
     assert [r[0] for r in spark.createDataFrame([(None,)], "v long").select(dyadic.encode(F.col("v"))).collect()] == [None]
