@@ -9,7 +9,7 @@ from citewise.llm.bpe import token_counts, token_ids
 from citewise.llm.dyadic import RANK_ERROR, combine, quantiles, rank_errors, update
 from citewise.llm.frequent import at_least, frequent
 from citewise.llm.packing import pack
-from citewise.llm.pii import personal_data, redacted
+from citewise.llm.pii import learn_names, personal_data, redacted
 from citewise.llm.splitting import split_texts
 from citewise.sources.tables import table
 
@@ -58,11 +58,13 @@ def p4_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(table(spark, sf_dir, "leads").withColumnRenamed("id", "lead_id"), "lead_id", ("name", "message")).select("lead_id", "field", "kind", "start_pos")
+    leads = table(spark, sf_dir, "leads").withColumnRenamed("id", "lead_id")
+    return personal_data(leads, "lead_id", ("name", "message"), names=learn_names(leads, ("name",), ("message",))).select("lead_id", "field", "kind", "start_pos")
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redacted(table(spark, sf_dir, "leads"), "id", ("name", "message"))
+    leads = table(spark, sf_dir, "leads")
+    return redacted(leads, "id", ("name", "message"), names=learn_names(leads, ("name",), ("message",)))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from citewise.llm import dyadic, frequent
 from citewise.llm.bpe import Encoder, token_counts, token_ids, unlike, vocabulary
 from citewise.llm.packing import pack, sum_of_squares
-from citewise.llm.pii import View, find, normalised, personal_data, redact, redacted
+from citewise.llm.pii import Names, View, find, learn_names, normalised, personal_data, redact, redacted
 from citewise.llm.splitting import Splitter, split_block, split_texts
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -197,23 +197,55 @@ def test_split_table(spark):
         split_texts(df, 64, 64)
 
 
-# --- personal data outside the lists
+# --- names in no list
 
 OUTSIDE = [
     ("My name is Ottoline Quarmby and I sell tea.", "Ottoline Quarmby"), ("Ich heiße Dörte Wackernagel.", "Dörte Wackernagel"), ("Je m'appelle Mathurin Lefeuvre", "Mathurin Lefeuvre"),
     ("Me llamo Íñigo Zubizarreta, gracias", "Íñigo Zubizarreta"), ("Please call.\nKind regards,\nThaddeus Pellinore", "Thaddeus Pellinore"), ("Dear Ms. Araminta Skelhorn,\nthanks", "Araminta Skelhorn"),
-    ("Best regards, Q. Winterbourne", "Q. Winterbourne"), ("Yesterday Ottoline Quarmby rang twice.", "Ottoline Quarmby"), ("I spoke to Thaddeus about it", "Thaddeus"), ("Ask for Q. Winterbourne at the desk", "Q. Winterbourne"),
+    ("Best regards, Q. Winterbourne", "Q. Winterbourne"), ("Ask for Q. Winterbourne at the desk", "Q. Winterbourne"), ("Frau Wackernagel ruft zurück", "Wackernagel"), ("I spoke to Thaddeus Pellinore", "Thaddeus Pellinore"),
+    ("Yesterday Ottoline Quarmby rang twice.", "Ottoline Quarmby"), ("Thaddeus was there", "Thaddeus"),
 ]
 
 
-def test_names_outside_the_lists():
-    """Seven of ten are found, those that context gives away."""
+def test_names_by_context_alone():
+    """Without any learned name, ten of twelve are found, those that context gives away."""
     hit = [any((k, t[a:b]) == ("person", n) for k, a, b in find(t)) for t, n in OUTSIDE]
-    assert hit == [True] * 7 + [False] * 3
-    for t in ("My name is on the list", "Dear Tea Company,\nhello", "Regards,\nThe Team", "Hello Coffee Studio,\n"):
+    assert hit == [True] * 10 + [False] * 2
+    for t in ("My name is on the list", "Dear Pottery Company,\nhello", "Regards,\nThe Team", "Hello Garden Studio,\n", "I spoke to Garden Pottery GmbH", "Summer Lake Road is closed"):
         assert find(t) == []
 
 
+def invented(seed, n_given, n_family):
+    """Given and family names of random syllables."""
+    rng = random.Random(seed)
+    part = lambda: rng.choice("b d f g k l m n p r s t v z".split()) + rng.choice("a e i o u ai ei ou".split())
+    made = lambda k, end: ("".join(part() for _ in range(k)) + end).capitalize()
+    return sorted({made(2, rng.choice(["", "n", "l"])) for _ in range(n_given)}), sorted({made(3, rng.choice(["r", "nd", "x", "th"])) for _ in range(n_family)})
+
+
+def test_learned_names_find_the_rest(spark):
+    """Names learned from one half of the leads' name field are found in the texts of the other, whose full names occur nowhere in the first."""
+    given, family = invented(7, 40, 120)
+    rng = random.Random(8)
+    pairs = [(g, f) for g in given for f in rng.sample(family, 60)]
+    rng.shuffle(pairs)
+    half = len(pairs) // 2
+    forms = [lambda g, f: f"{g} {f}", lambda g, f: f"{f}, {g}", lambda g, f: f"{g.upper()} {f.upper()}", lambda g, f: f"{g} {f} <x@y.example>", lambda g, f: f"{g} K. {f}"]
+    data = [(rng.choice(forms)(g, f), None) for g, f in pairs[:half]] + [(x, None) for x in ("Zupo Studio", "Zupo GmbH", "Zupo Group", "", "x@y.example")]
+    data += [("", f"{given[0]} Lamp works. {g} was here") for g in given[:30]]
+    names = learn_names(spark.createDataFrame(data, "name string, message string"), ("name",), ("message",))
+    assert names.given == {g.lower() for g in given} and len(names.family) > 110 and "studio" not in names.family and "zupo" not in names.given
+    assert names.phrases == {(given[0].lower(), "lamp")}
+    found = true = right = 0
+    for g, f in pairs[half:]:
+        text, want = rng.choice([(f"We met {g} {f} at noon.", f"{g} {f}"), (f"The guide by {g.lower()} {f.lower()} is old", f"{g.lower()} {f.lower()}"), (f"{g} says hello", g), (f"ask {f}, {g} about Summer Lake", f"{f}, {g}"), (f"{g[0]}. {f} and Meadow Hall", f"{g[0]}. {f}")])
+        got = [text[a:b] for k, a, b in find(text, names=names) if k == "person"]
+        true, found, right = true + 1, found + len(got), right + (want in got)
+    assert right / true > 0.97 and right / found > 0.97
+    none = learn_names(spark.createDataFrame([(None, None)], "name string, message string"), ("name",), ("message",))
+    assert not none.any and not none.phrases
+
+
 def test_lower_case_at_and_dot():
     for t, want in (("write to jane at firm dot com please", "jane at firm dot com"), ("jane dot roe at mail dot firm dot co dot uk.", "jane dot roe at mail dot firm dot co dot uk"), ("Jane.Roe at firm Dot example", "Jane.Roe at firm Dot example")):
         assert [t[a:b] for k, a, b in find(t) if k == "email"] == [want]
@@ -328,6 +360,7 @@ def test_percentiles_days_and_deletions(spark):
 # --- personal data
 
 
+NAMES = Names(("orla", "bastien"), ("quenby", "tarrant"), (("orla", "jelly"),))
 CASES = [
     ("Write to ann.lee+x@mail.example.org or call +44 20 7946 0279.", ["email:ann.lee+x@mail.example.org", "phone:+44 20 7946 0279"]),
     ("hello AT quorix DOT example / info [at] studio [dot] example [dot] net / a＠b.example / x @ raspod.test", ["email:hello AT quorix DOT example", "email:info [at] studio [dot] example [dot] net", "email:a＠b.example", "email:x @ raspod.test"]),
@@ -339,17 +372,19 @@ CASES = [
     ("call zero two zero seven nine four six zero one two three", ["phone:zero two zero seven nine four six zero one two three"]),
     ("our office is 1117 Fennimore Blvd, Villarrosa; 5 bis chemin du Wrenmoor; Saddlecroftstr. 98; Calle del Ottersby 97", ["address:1117 Fennimore Blvd", "address:5 bis chemin du Wrenmoor", "address:Saddlecroftstr. 98", "address:Calle del Ottersby 97"]),
     ('The 301 from Elm Street Bakery loops. 99 Avenue is a brand. Row 61: "Summer Hill Drive"', []),
-    ("Dr. Elena Zellundel, R. Iseniskey-Thornellan, Lundavost, Nadia H. and mateo haldavost", ["person:Elena Zellundel", "person:R. Iseniskey-Thornellan", "person:Lundavost, Nadia H.", "person:mateo haldavost"]),
-    ("Rosa Canina Tea and Victor Mower are our products. Grace period for refunds?", []),
-    ("Thanks\nMartin", ["person:Martin"]),
+    ("Dr. Orla Quenby, B. Quenby-Tarrant, O'Tarrant, Bastien H. and orla van tarrant", ["person:Orla Quenby", "person:B. Quenby-Tarrant", "person:O'Tarrant, Bastien H.", "person:orla van tarrant"]),
+    ("Orla Pinkpot and Bastien Oddjar are our brands. Orla jelly for all", []),
+    ("Orla Unheard came with Bastien Orla Quenby, Quenby GmbH and Orla's cat", ["person:Orla Unheard", "person:Bastien Orla Quenby", "person:Orla"]),
+    ("Orla Garden Pots, Orla Studio, @Orla, Bastien & Co", []),
+    ("Thanks\nBastien", ["person:Bastien"]),
     ("", []),
 ]
 
 
 @pytest.mark.parametrize(("text", "want"), CASES)
 def test_find(text, want):
-    assert [f"{k}:{text[a:b]}" for k, a, b in find(text)] == want
-    out = redact(text)
+    assert [f"{k}:{text[a:b]}" for k, a, b in find(text, names=NAMES)] == want
+    out = redact(text, names=NAMES)
     for w in want:
         assert w.split(":", 1)[1] not in out
 
@@ -384,9 +419,9 @@ def test_view_keeps_the_way_back():
 
 
 def test_tables(spark):
-    data = [("1", "Ann", "mail a@b.example"), ("1", "Ann", "mail a@b.example"), ("2", None, None), ("3", "", "x" * 200_000 + " a@b.example"), (None, "martin", "c@d.example")]
+    data = [("1", "Ann", "mail a@b.example"), ("1", "Ann", "mail a@b.example"), ("2", None, None), ("3", "", "x" * 200_000 + " a@b.example"), (None, "bastien", "c@d.example")]
     df = spark.createDataFrame(data, "lead_id string, name string, message string").withColumn("kind", F.lit("clash")).withColumn("key", F.lit(0))
-    got = rows(personal_data(df, "lead_id", ("name", "message")).select("lead_id", "field", "kind", "start_pos"))
+    got = rows(personal_data(df, "lead_id", ("name", "message"), names=NAMES).select("lead_id", "field", "kind", "start_pos"))
     assert got == sorted([("1", "message", "email", 5), ("3", "message", "email", 200_001), (None, "name", "person", 0), (None, "message", "email", 0)], key=str)
     assert [r["message"] for r in redacted(df, "lead_id", ("name", "message")).where("lead_id = '1'").collect()] == ["mail [EMAIL]"] * 2
     assert redacted(df, "lead_id", ("name", "message")).count() == 5
