@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from citewise.sources.logs import ip_number
 
+NOT_WORD = re.compile(r"\W+")
+
 
-def folded(name: Column) -> Column:
-    """A name in lower case without anything but letters, digits and underscores."""
-    return F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}_]+", "")
+@F.pandas_udf(StringType())
+def folded(names: pd.Series) -> pd.Series:
+    """A name in its compatible form (NFKC), case folded, without anything but letters, digits and underscores; null stays null."""
+    return names.map(lambda n: None if n is None else NOT_WORD.sub("", unicodedata.normalize("NFKC", n).casefold()))
 
 
 def match_aliases(observed: DataFrame, name: str, aliases: DataFrame) -> DataFrame:

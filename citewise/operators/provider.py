@@ -22,10 +22,11 @@ def top_hosts(items: DataFrame, query: str, rank: str, url: str, own: Column, to
 
 
 def feature_shares(items: DataFrame, query: str, kind: str) -> DataFrame:
-    """kind, n_queries, share (4 digits): on how many of all queries' pages each kind of result stands."""
-    n = items.where(F.col(query).isNotNull()).select(query).distinct().count()
-    per = items.where(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("kind")).agg(F.countDistinct(query).alias("n_queries"))
-    return per.withColumn("share", F.round(F.col("n_queries") / F.lit(n), 4))
+    """kind, n_queries, share (4 digits): on how many of all queries' pages each kind of result stands. Queries are counted in the same pass, as the kind null."""
+    rows = items.where(F.col(query).isNotNull()).select(query, F.explode(F.array(F.lit(None).cast("string"), F.col(kind))).alias("kind")).distinct()
+    per = rows.groupBy("kind").agg(F.count("*").alias("n_queries"))
+    total = F.max(F.when(F.col("kind").isNull(), F.col("n_queries"))).over(Window.partitionBy())
+    return per.withColumn("n", total).where("kind is not null").select("kind", "n_queries", F.round(F.col("n_queries") / F.col("n"), 4).alias("share"))
 
 
 def anchor_profile(anchors: DataFrame, target: str, anchor: str, backlinks: str) -> DataFrame:
@@ -59,17 +60,30 @@ def due(monitors: DataFrame, now: Column, limit: int = 10) -> DataFrame:
 def stratified(df: DataFrame, stratum: str, order: str, n: int) -> DataFrame:
     """n rows drawn in turn from the strata: the first of each, then the second of each; strata by name, rows by order."""
     turn = df.withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy(order)))
-    return turn.orderBy("turn", stratum).limit(n)
+    return turn.where(F.col("turn") <= n).orderBy("turn", stratum).limit(n)
+
+
+# The steps of the 32-bit generator by which resamples are drawn.
+MULBERRY = (0x6D2B79F5, 61, 4294967296)
+
+
+def mulberry(seed: int):
+    """Numbers in [0, 1) of the 32-bit generator, the same for the same seed."""
+    step, odd, size = MULBERRY
+    while True:
+        seed = (seed + step) % size
+        x = ((seed ^ (seed >> 15)) * (seed | 1)) % size
+        x ^= (x + ((x ^ (x >> 7)) * (x | odd))) % size
+        yield ((x ^ (x >> 14)) % size) / size
 
 
 def bootstrap_interval(values: list[float], draws: int = 2000, seed: int = 20260922) -> tuple[float, float]:
     """The 2.5 and 97.5 percent points of the means of draws samples of a short list of values; the same for the same seed."""
     if not values:
         return 0.0, 0.0
-    rng = random.Random(seed)
-    means = sorted(sum(rng.choices(values, k=len(values))) / len(values) for _ in range(draws))
-    return means[int(draws * 0.025)], means[min(draws - 1, int(draws * 0.975))]
-
+    rng, n = mulberry(seed), len(values)
+    means = sorted(sum(values[int(next(rng) * n)] for _ in range(n)) / n for _ in range(draws))
+    return means[int(0.025 * (draws - 1))], means[int(0.975 * (draws - 1))]
 
 
 def sitemap_entries(xml: DataFrame, key: str, text: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citewise.functions.exprs import intent, safe_ratio, url_host, url_key
+from citewise.functions.exprs import safe_ratio, url_host, url_key
+from citewise.functions.text import intent
 from citewise.operators import answers as A
 from citewise.operators import console as C
 from citewise.operators import structure as S
@@ -104,16 +105,38 @@ def audit_scores(spark: SparkSession, d: str) -> DataFrame:
     return o.select("audit_id", "score", grade(F.col("score")).alias("grade"))
 
 
-@query()
+def _trade(t: str) -> str:
+    """One trade word less at the end of t, while four letters or digits are left."""
+    cut = f"trim(regexp_replace({t}, '[\\s&,.·-]+(catering|restaurants?|steakhouse|company|group|services?|solutions?|official|inc|llc|ltd|co)\\.?$', ''))"
+    return f"CASE WHEN length(regexp_replace({cut}, '[^a-z0-9]', '', 'g')) >= 4 THEN {cut} ELSE {t} END"
+
+
+ASSISTANTS = "('chatgpt','openai','claude','anthropic','gemini','googlegemini','bard','copilot','microsoftcopilot','githubcopilot','perplexity','llama','ollama','mistral','deepseek','grok','gpt4','gpt4o','gpt5','llm')"
+KEYS = f""", k0 AS (SELECT audit_id, question_id, mentioned, name, regexp_replace(trim(lower(name)), '\\.(ai|io|com|co|app|dev|net|org|so|xyz|tech)$', '') AS t FROM competitors WHERE name IS NOT NULL),
+k1 AS (SELECT * REPLACE ({_trade("t")} AS t) FROM k0), k2 AS (SELECT * REPLACE ({_trade("t")} AS t) FROM k1), k3 AS (SELECT * REPLACE ({_trade("t")} AS t) FROM k2),
+keyed AS (SELECT audit_id, question_id, mentioned, name, coalesce(nullif(regexp_replace(t, '[^a-z0-9]', '', 'g'), ''), nullif(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), '')) AS key FROM k3),
+rivals AS (SELECT * FROM keyed WHERE key IS NOT NULL AND key NOT IN {ASSISTANTS}
+  AND NOT (length(regexp_replace(key, '(pro|plus|premium|advanced|ai|app)$', '')) >= 3 AND regexp_replace(key, '(pro|plus|premium|advanced|ai|app)$', '') IN {ASSISTANTS}))"""
+
+
+@query(ANSWERS + KEYS + """, absent AS (SELECT audit_id, question_id, NOT bool_or(mentioned) AS away FROM answers GROUP BY 1, 2),
+spell AS (SELECT DISTINCT audit_id, key, name FROM rivals),
+pairs AS (SELECT DISTINCT l.audit_id, l.key, s.key AS short FROM spell l JOIN (SELECT DISTINCT audit_id, key FROM spell WHERE length(key) >= 5) s ON s.audit_id = l.audit_id AND length(l.key) > length(s.key) AND starts_with(l.key, s.key)
+  WHERE starts_with(regexp_replace(lower(l.name), '[^a-z0-9]', '', 'g'), s.key) AND regexp_matches(l.name, '^(?:[^A-Za-z0-9]*[A-Za-z0-9]){' || length(s.key) || '}(?:$|[\\s&,.·-])')),
+taken AS (SELECT audit_id, key, arg_min(short, length(short)) AS into_key FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.audit_id = p.audit_id AND q.key = p.short) GROUP BY 1, 2),
+own AS (SELECT r.*, coalesce(t.into_key, r.key) AS k, away FROM rivals r LEFT JOIN taken t USING (audit_id, key) JOIN absent USING (audit_id, question_id)),
+stats AS (SELECT audit_id, k, count(*) AS mentions, count(DISTINCT question_id) AS n_questions, least(count(*) FILTER (away), count(DISTINCT question_id)) AS wins FROM own GROUP BY 1, 2),
+best AS (SELECT audit_id, k, first(name ORDER BY same DESC, n DESC, length(name), name) AS name FROM (SELECT audit_id, k, name, count(*) AS n, max((key = k)::int) AS same FROM own GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT audit_id, place, name, mentions, n_questions, wins FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY wins DESC, mentions DESC, k) AS place FROM stats) JOIN best USING (audit_id, k) WHERE place <= 12""")
 def competitor_league(spark: SparkSession, d: str) -> DataFrame:
     return A.competitor_league(_answers(spark, d))
 
 
-@query(ANSWERS + """, qs AS (
+@query(ANSWERS + KEYS + """, qs AS (
   SELECT audit_id, q->>'$.id' AS question_id, q->>'$.text' AS question, q->>'$.intent' AS intent
   FROM (SELECT audit_id, unnest(json_extract(r, '$.questions[*]')) AS q FROM docs) WHERE json_type(q) <> 'NULL'),
 open AS (SELECT audit_id, question_id, count(DISTINCT engine) AS n_engines FROM answers GROUP BY 1, 2 HAVING NOT bool_or(mentioned)),
-who AS (SELECT audit_id, question_id, string_agg(name, ';' ORDER BY name) AS competitors FROM (SELECT DISTINCT audit_id, question_id, name FROM competitors WHERE name IS NOT NULL) GROUP BY 1, 2)
+who AS (SELECT audit_id, question_id, array_to_string(list_sort(list(DISTINCT name))[1:6], ';') AS competitors FROM rivals GROUP BY 1, 2)
 SELECT audit_id, question_id, question, intent, n_engines, competitors FROM open JOIN who USING (audit_id, question_id) JOIN qs USING (audit_id, question_id)""")
 def gap_questions(spark: SparkSession, d: str) -> DataFrame:
     return A.gap_questions(_answers(spark, d), A.audit_questions(table(spark, d, "audits")))
@@ -129,6 +152,36 @@ def visibility_levels(spark: SparkSession, d: str) -> DataFrame:
     return A.visibility_level(_answers(spark, d), ["audit_id", "engine"])
 
 
+@query(ANSWERS + """, f AS (SELECT audit_id, engine, regexp_replace(lower(n), '[^a-z0-9]', '', 'g') AS key, n FROM (
+  SELECT audit_id, engine, trim(CASE WHEN json_type(c) = 'OBJECT' THEN c->>'$.name' ELSE c->>'$' END) AS n FROM named WHERE NOT mentioned AND json_type(c) <> 'NULL')),
+g AS (SELECT audit_id, engine, key, count(*) AS n, min(n) AS name FROM f WHERE key <> '' GROUP BY 1, 2, 3)
+SELECT audit_id, engine, place, name, n FROM (SELECT *, row_number() OVER (PARTITION BY audit_id, engine ORDER BY n DESC, key) AS place FROM g) WHERE place <= 3""")
+def picked_instead(spark: SparkSession, d: str) -> DataFrame:
+    return A.picked_instead(_answers(spark, d), ["audit_id", "engine"])
+
+
+_FLAGS = """SELECT event_type AS engine, CASE WHEN event_id % 7 = 0 THEN 'no' ELSE 'yes' END AS answer_available, CASE WHEN value > 50 THEN 'yes' WHEN value > 5 THEN 'no' END AS brand_mentioned,
+  CASE WHEN value > 75 THEN 'yes' ELSE 'no' END AS brand_recommended, user_id % 4 AS citation_count, CASE WHEN event_id % 3 = 0 THEN 'yes' ELSE 'no' END AS cited_brand_source FROM events"""
+
+
+@query(f"""WITH a AS (SELECT * FROM ({_FLAGS}) WHERE answer_available = 'yes'), m AS (
+  SELECT 'answer_metrics' AS query, 'mention_rate' AS metric, engine, sum((brand_mentioned = 'yes')::int) AS numerator, count(*) AS denominator FROM a GROUP BY engine
+  UNION ALL SELECT 'answer_metrics', 'recommendation_rate', engine, sum((brand_recommended = 'yes')::int), count(*) FROM a GROUP BY engine
+  UNION ALL SELECT 'answer_metrics', 'answered_rows', engine, count(*), count(*) FROM a GROUP BY engine
+  UNION ALL SELECT 'citation_metrics', 'citation_present_rate_answer', engine, sum((citation_count > 0)::int), count(*) FROM a GROUP BY engine
+  UNION ALL SELECT 'citation_metrics', 'brand_citation_rate_answer', engine, sum((cited_brand_source = 'yes')::int), count(*) FROM a GROUP BY engine
+  UNION ALL SELECT 'citation_metrics', 'brand_citation_rate_cited_answers', engine, sum((cited_brand_source = 'yes')::int), sum((citation_count > 0)::int) FROM a GROUP BY engine)
+SELECT query, metric, engine, numerator::bigint AS numerator, denominator::bigint AS denominator, CASE WHEN denominator = 0 THEN NULL ELSE round(numerator::double / denominator, 4) END AS rate FROM m""")
+def citation_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Both metrics queries over events read as answers."""
+    e = table(spark, d, "events")
+    rows = e.selectExpr(
+        "event_type AS engine", "CASE WHEN event_id % 7 = 0 THEN 'no' ELSE 'yes' END AS answer_available", "CASE WHEN value > 50 THEN 'yes' WHEN value > 5 THEN 'no' END AS brand_mentioned",
+        "CASE WHEN value > 75 THEN 'yes' ELSE 'no' END AS brand_recommended", "user_id % 4 AS citation_count", "CASE WHEN event_id % 3 = 0 THEN 'yes' ELSE 'no' END AS cited_brand_source",
+    )
+    return A.citation_metrics(rows)
+
+
 ONCE = "once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at) AS rn FROM api_requests WHERE id IS NOT NULL) WHERE rn = 1)"
 
 
@@ -194,18 +247,10 @@ def console_cannibalised(spark: SparkSession, d: str) -> DataFrame:
     return C.cannibalised(C.console_rows(table(spark, d, "gsc_daily")), BRAND)
 
 
-@query(CONSOLE + """, a AS (SELECT page, sum(CASE WHEN date_diff('day', day, DATE '2026-09-30') BETWEEN 0 AND 27 THEN clicks ELSE 0 END)::bigint AS clicks,
-  sum(CASE WHEN date_diff('day', day, DATE '2026-09-30') BETWEEN 28 AND 55 THEN clicks ELSE 0 END)::bigint AS clicks_before FROM r GROUP BY 1)
-SELECT page, clicks, clicks_before, CASE WHEN clicks + clicks_before >= 20 THEN round(greatest(0.0, least(100.0, 50 + ((clicks - clicks_before) * 100.0::double / nullif(clicks_before, 0)) / 40 * 50)), 1) END AS score FROM a WHERE clicks_before > 0""")
-def console_momentum(spark: SparkSession, d: str) -> DataFrame:
-    return C.momentum(C.console_rows(table(spark, d, "gsc_daily")), ["page"], F.lit("2026-09-30").cast("date")).where("clicks_before > 0")
-
-
 @query(CONSOLE + """, a AS (SELECT page, sum(CASE WHEN date_diff('day', day, DATE '2026-09-30') BETWEEN 0 AND 27 THEN clicks ELSE 0 END)::bigint AS clicks,
   sum(CASE WHEN date_diff('day', day, DATE '2026-09-30') BETWEEN 28 AND 55 THEN clicks ELSE 0 END)::bigint AS clicks_before FROM r GROUP BY 1)
 SELECT page, clicks, clicks_before, CASE WHEN clicks + clicks_before >= 20 THEN round(CASE WHEN clicks_before = 0 THEN 100.0 ELSE greatest(0.0, least(100.0, 50 + ((clicks - clicks_before) * 100.0::double / nullif(clicks_before, 0)) / 40 * 50)) END, 1) END AS score FROM a""")
-def console_momentum_all(spark: SparkSession, d: str) -> DataFrame:
-    """console_momentum of every page, those without clicks before too."""
+def console_momentum(spark: SparkSession, d: str) -> DataFrame:
     return C.momentum(C.console_rows(table(spark, d, "gsc_daily")), ["page"], F.lit("2026-09-30").cast("date"))
 
 
@@ -216,12 +261,21 @@ def console_positions(spark: SparkSession, d: str) -> DataFrame:
     return C.position_buckets(C.console_rows(table(spark, d, "gsc_daily")), ["page"])
 
 
-@query("""SELECT CASE WHEN regexp_matches(lower(query), '\\b(login|log in|sign in|sign up|dashboard|account|portal)\\b') THEN 'navigational'
-  WHEN regexp_matches(lower(query), '\\b(best|top|vs|versus|compare|comparison|alternative|alternatives|review|reviews|cheap|cheapest|affordable)\\b') THEN 'commercial'
-  WHEN regexp_matches(lower(query), '\\b(buy|price|pricing|cost|coupon|discount|order|trial|download|free)\\b') THEN 'transactional'
-  WHEN regexp_matches(lower(query), '\\b(near me|nearby|in my area|local)\\b') THEN 'local' ELSE 'informational' END AS intent, count(*) AS n, count(DISTINCT query) AS n_queries FROM gsc_daily WHERE query IS NOT NULL GROUP BY 1""")
+_STOP = "'a','an','the','and','or','but','of','in','on','at','to','for','from','by','with','vs','versus','is','are','do','does','have','has','it','its','this','that','what','which','who','why','how','when','where','i','my','we','our','you','your','as','if','more','most','all','some','not','no','only','up','like','com','www','net','org','io','co','http','https'"
+
+
+@query(rf"""WITH w AS (SELECT query, regexp_extract_all(lower(regexp_replace(query, '[''’]', '', 'g')), '[\p{{L}}\p{{N}}]+') AS t, contains(lower(query), '{BRAND}') OR contains(regexp_replace(lower(query), '[^\p{{L}}\p{{N}}]', '', 'g'), '{BRAND}') AS own FROM gsc_daily WHERE query IS NOT NULL),
+x AS (SELECT query, own, ' ' || array_to_string(t, ' ') || ' ' AS s, list_filter(t, lambda a: NOT contains(a, '{BRAND}') AND length(a) >= 2 AND a NOT IN ({_STOP})) AS core FROM w)
+SELECT CASE WHEN own AND len(list_filter(core, lambda a: NOT regexp_matches(a, '^(login|log|signin|sign|app|website|site|official|homepage|home|account|dashboard)s?$'))) = 0 THEN 'navigational'
+  WHEN regexp_matches(s, ' (?:vs|versus|best|top|review|reviews|alternative|alternatives|compare|comparison|comparisons|comparing) ') THEN 'commercial'
+  WHEN regexp_matches(s, ' (?:price|prices|pricing|cost|costs|buy|buying|coupon|coupons|discount|discounts|free trial) ') THEN 'transactional'
+  WHEN regexp_matches(s, ' (?:near me|new york|nyc|los angeles|chicago|houston|phoenix|philadelphia|san antonio|san diego|dallas|jacksonville|austin|fort worth|san jose|columbus|charlotte|indianapolis|san francisco|seattle|denver|oklahoma city|nashville|washington|el paso|las vegas|boston|detroit|portland|louisville|memphis|baltimore|milwaukee|albuquerque|tucson|fresno|sacramento|mesa|atlanta|kansas city|colorado springs|omaha|raleigh|miami|virginia beach|long beach|oakland|minneapolis|bakersfield|tulsa|tampa|arlington) ') THEN 'local'
+  WHEN regexp_matches(s, ' (?:what (?:is|are|does)|whats|how (?:to|do|does|can)|why|guide|guides|meaning|definition|define|tutorial|tutorials|explained) ') THEN 'informational'
+  WHEN own THEN 'navigational' ELSE 'informational' END AS intent, count(*) AS n, count(DISTINCT query) AS n_queries FROM x GROUP BY 1""")
 def query_intents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "gsc_daily").where("query is not null").groupBy(intent(F.col("query")).alias("intent")).agg(F.count("*").alias("n"), F.countDistinct("query").alias("n_queries"))
+    """Queries are judged once each, then counted."""
+    q = table(spark, d, "gsc_daily").where("query is not null").groupBy("query").agg(F.count("*").alias("n"))
+    return q.groupBy(intent(F.col("query"), F.array(F.lit(BRAND))).alias("intent")).agg(F.sum("n").alias("n"), F.count("*").alias("n_queries"))
 
 
 @query("""WITH b AS (SELECT DISTINCT l_orderkey AS a, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand <> '')

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,19 +49,11 @@ def log_status(spark: SparkSession, d: str) -> DataFrame:
 _TOKEN = "CASE " + " ".join(f"WHEN contains(lower(p.agent), '{t.lower()}') THEN '{t}|{c}'" for t, c in AGENT_RULES) + " ELSE 'unknown|unknown' END"
 
 
-@query(LINES + f"""SELECT split_part(t, '|', 1) AS token, split_part(t, '|', 2) AS category, providers, count(*) AS n FROM (
-  SELECT {_TOKEN} AS t, concat_ws(';', CASE WHEN h >= 128 THEN 'high' END, CASE WHEN h < 128 THEN 'low' END, CASE WHEN h = 7 THEN 'one' END, 'wide') AS providers
-  FROM (SELECT *, split_part(p.ip, '.', 4)::int AS h FROM g WHERE ok AND regexp_matches(p.ip, '^192\\.0\\.2\\.'))) GROUP BY 1, 2, 3""")
-def log_agents(spark: SparkSession, d: str) -> DataFrame:
-    rows = M.in_ranges(_lines(spark, d).where("ok").where(F.col("ip").startswith("192.0.2.")), "ip", RANGES).withColumn("r", M.first_rule(F.col("agent"), AGENT_RULES))
-    return rows.groupBy("r.token", "r.category", F.array_join("providers", ";").alias("providers")).agg(F.count("*").alias("n"))
-
-
 @query(LINES + f"""SELECT split_part(t, '|', 1) AS token, split_part(t, '|', 2) AS category, providers, count(*) AS n FROM (
   SELECT {_TOKEN} AS t, CASE WHEN v4 THEN concat_ws(';', CASE WHEN net AND h >= 128 THEN 'high' END, CASE WHEN net AND h < 128 THEN 'low' END, CASE WHEN net AND h = 7 THEN 'one' END, CASE WHEN starts_with(p.ip, '192.0.') THEN 'wide' END) ELSE '' END AS providers
   FROM (SELECT *, regexp_matches(p.ip, '^(25[0-5]|2[0-4]\\d|1?\\d?\\d)([.](25[0-5]|2[0-4]\\d|1?\\d?\\d)){{3}}$') AS v4, starts_with(p.ip, '192.0.2.') AS net, try_cast(split_part(p.ip, '.', 4) AS int) AS h FROM g WHERE ok)) GROUP BY 1, 2, 3""")
-def log_agents_all(spark: SparkSession, d: str) -> DataFrame:
-    """log_agents of every valid line; providers is empty for addresses outside the ranges or not IPv4."""
+def log_agents(spark: SparkSession, d: str) -> DataFrame:
+    """Agents and providers of every valid line; providers is empty for addresses outside the ranges or not IPv4."""
     rows = M.in_ranges(_lines(spark, d).where("ok"), "ip", RANGES).withColumn("r", M.first_rule(F.col("agent"), AGENT_RULES))
     return rows.groupBy("r.token", "r.category", F.array_join("providers", ";").alias("providers")).agg(F.count("*").alias("n"))
 
@@ -137,10 +127,11 @@ def page_scores(spark: SparkSession, d: str) -> DataFrame:
 
 _W = r"[\p{L}\p{N}]+(?:[''’.\-][\p{L}\p{N}]+)*"
 _CJK = "[㐀-䶿一-鿿぀-ヿ가-힯]"
+_ABBR = r"e\.g|i\.e|vs|mr|mrs|ms|dr|prof|st|jr|sr|inc|ltd|co|corp|no|fig|figs|approx|est|dept|vol|u\.s|u\.k|a\.m|p\.m"
 
 
 @query(rf"""SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '{_CJK}', ' ', 'g'), '{_W}')) + len(regexp_extract_all(text, '{_CJK}')) AS n_words,
-  greatest(1, len(regexp_extract_all(text, '[.!?…]+(?:\s|$)|[。！？]'))) AS n_sentences FROM documents WHERE text IS NOT NULL""")
+  len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\p{{L}}.])((?i:{_ABBR})|\p{{L}})\.([\t\f\v\r \x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}])', '\1\2\3', 'g'), '(^|[^\p{{L}}.])((?i:{_ABBR})|\p{{L}})\.([\t\f\v\r \x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}])', '\1\2\3', 'g'), '([.!?]["''”’)\]]*)[\t\f\v\r ]+', '\1' || chr(10), 'g'), '\n+'), lambda s: regexp_matches(s, '[\p{{L}}\p{{N}}]'))) AS n_sentences FROM documents WHERE text IS NOT NULL""")
 def text_counts(spark: SparkSession, d: str) -> DataFrame:
     return P.text_measures(table(spark, d, "documents").where("text is not null"), "doc_id", "text").select("doc_id", "n_words", "n_sentences")
 
@@ -158,14 +149,6 @@ def reading_ease(spark: SparkSession, d: str) -> DataFrame:
     return P.text_measures(_prose(spark, d), "doc_id", "text")
 
 
-@query(r"""WITH t AS (SELECT doc_type, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_type IN ('faq', 'table')),
-g AS (SELECT doc_type, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM t WHERE len(w) >= 2),
-c AS (SELECT doc_type, ngram, count(*) AS count FROM g GROUP BY 1, 2), s AS (SELECT doc_type, sum(count) AS total FROM c GROUP BY 1)
-SELECT doc_type, place, ngram, count, round(count::double / total, 4) AS share FROM (SELECT *, row_number() OVER (PARTITION BY doc_type ORDER BY count DESC, ngram) AS place FROM c WHERE count >= 2) JOIN s USING (doc_type) WHERE place <= 15""")
-def word_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return P.ngram_density(table(spark, d, "documents").where("doc_type in ('faq', 'table')"), ["doc_type"], "text", 2)
-
-
 @query()
 def phrases(spark: SparkSession, d: str) -> DataFrame:
     """Phrases of one, two and three words of all documents by doc_type."""
@@ -174,11 +157,8 @@ def phrases(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    name = f"windows_{uuid4().hex}"
-    counts = windows.window_counts(windows.read_table(spark, d, "events"), "ts", ["event_type"], "value", "1 day", "2 days")
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Counts by day of a stream that is restated by each batch; the whole stands in the shared folder."""
+    return windows.run_whole(windows.window_counts(windows.read_table(spark, d, "events"), "ts", ["event_type"], "value", "1 day", "2 days"))
 
 
 @query()
@@ -197,14 +177,27 @@ def error_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return windows.fingerprints(table(spark, d, "api_requests").where("error is not null"), ["error", "endpoint"], "created_at")
 
 
-@query("""WITH first AS (SELECT id, arg_max(clicks, pulled_at) AS clicks, max(pulled_at) AS pulled_at FROM (SELECT * FROM gsc_daily WHERE clicks IS NOT NULL) WHERE pulled_at < TIMESTAMP '2026-08-01' GROUP BY 1),
-later AS (SELECT id, arg_max(clicks, pulled_at) AS clicks, max(pulled_at) AS pulled_at FROM (SELECT * FROM gsc_daily WHERE clicks IS NOT NULL) WHERE pulled_at >= TIMESTAMP '2026-08-01' GROUP BY 1)
-SELECT count(*) AS n, sum(clicks)::bigint AS clicks FROM (SELECT clicks FROM later UNION ALL SELECT clicks FROM first WHERE id NOT IN (SELECT id FROM later))""")
+@query("""WITH g AS (SELECT id, clicks, pulled_at, pulled_at >= TIMESTAMP '2026-08-01' AS late FROM gsc_daily),
+last AS (SELECT id, late, clicks FROM g QUALIFY row_number() OVER (PARTITION BY id, late ORDER BY pulled_at DESC, clicks DESC NULLS LAST) = 1)
+SELECT count(*) AS n, sum(clicks)::bigint AS clicks FROM last WHERE late OR id NOT IN (SELECT id FROM last WHERE late)""")
 def late_restatement(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "gsc_daily").where("clicks is not null").select("id", "clicks", "pulled_at")
-    cut = F.lit("2026-08-01").cast("timestamp_ntz")
-    old = g.where(F.col("pulled_at") < cut).groupBy("id").agg(F.max_by("clicks", "pulled_at").alias("clicks"), F.max("pulled_at").alias("pulled_at"))
-    return windows.restate(old, g.where(F.col("pulled_at") >= cut), ["id"], F.col("pulled_at")).agg(F.count("*").alias("n"), F.sum("clicks").alias("clicks"))
+    g = table(spark, d, "gsc_daily").select("id", "clicks", "pulled_at")
+    cut, newest = F.lit("2026-08-01").cast("timestamp_ntz"), F.struct("pulled_at", "clicks")
+    old = g.where(F.col("pulled_at") < cut).groupBy("id").agg(F.max(newest).alias("r")).select("id", "r.clicks", "r.pulled_at")
+    return windows.restate(old, g.where(F.col("pulled_at") >= cut), ["id"], newest).agg(F.count("*").alias("n"), F.sum("clicks").alias("clicks"))
+
+
+@query("""SELECT time_bucket(INTERVAL 6 HOUR, ts) + s * INTERVAL 6 HOUR AS start, event_type, count(*) AS n, sum(value) AS total FROM events, (VALUES (0), (-1), (-2), (-3)) v(s) GROUP BY 1, 2""")
+def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    """A day's counts every six hours."""
+    return windows.window_counts(table(spark, d, "events"), "ts", ["event_type"], "value", "1 day", "2 days", "6 hours")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh, event_id FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT min(ts) AS first, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return windows.session_counts(table(spark, d, "events"), "ts", ["user_id"], "2 hours", "2 days")
 
 
 @query("""SELECT cadence, count(*) AS n, count(*) FILTER (drop_8) AS n_alerts FROM (SELECT cadence, lag(last_score) OVER (PARTITION BY domain ORDER BY created_at, id) - last_score >= 8 AS drop_8

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +10,13 @@ from pyspark.sql import functions as F
 from citewise.session import shared_folder
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stream of the files of a Parquet table; times without zone become UTC times, which watermarks need."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+def read_table(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int = 256) -> DataFrame:
+    """A stream of the files of a Parquet table, at most files_a_batch at a time; times without zone become UTC times, which watermarks need."""
     path = f"{sf_dir}/{name}.parquet"
-    reader = spark.readStream.schema(schema)
-    rows = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    table = spark.read.parquet(path)
+    one_file = any(f.rstrip("/").endswith(f"/{name}.parquet") for f in table.inputFiles())
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_a_batch)
+    rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if one_file else reader.parquet(path)
     return rows.select(*(F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in rows.dtypes))
 
 
@@ -49,6 +49,35 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_whole(stream: DataFrame) -> DataFrame:
+    """What a stream of aggregates comes to for what is there now: each batch writes the whole result to the shared folder, the last one counts."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/{uuid4().hex}"
+    written: list[str] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        path = f"{base}/out-{number}"
+        batch.write.mode("overwrite").parquet(path)
+        written.append(path)
+
+    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(written[-1]) if written else spark.createDataFrame([], stream.schema)
+
+
+def upsert_fingerprints(old: DataFrame, new: DataFrame) -> DataFrame:
+    """fingerprint, n, first_seen, last_seen, resolved_at: the counts of new (as fingerprints gives) added to old's; what comes again is no longer resolved."""
+    j = old.alias("o").join(new.alias("n"), "fingerprint", "full")
+    return j.select(
+        "fingerprint", (F.coalesce("o.n", F.lit(0)) + F.coalesce("n.n", F.lit(0))).alias("n"), F.least("o.first_seen", "n.first_seen").alias("first_seen"),
+        F.greatest("o.last_seen", "n.last_seen").alias("last_seen"), F.when(F.col("n.n").isNull(), F.col("o.resolved_at")).alias("resolved_at"),
+    )
+
+
+def stale(df: DataFrame, status: Column, started_at: Column, created_at: Column, now: Column, minutes: int = 6) -> DataFrame:
+    """Rows still running (status) that started, or without a start were created, more than minutes before now."""
+    return df.where(status & (F.coalesce(started_at, created_at) < now - F.make_interval(mins=F.lit(minutes))))
+
+
 def restate(old: DataFrame, new: DataFrame, keys: list[str], newest: Column) -> DataFrame:
     """old with the rows of new in place of those of equal keys, and the others added; of new's rows of a key the newest counts.
 
