@@ -395,7 +395,7 @@ def says_what_it_is(title: Column, sample: Column) -> Column:
     words = F.slice(query_words(longest), 1, 6)
     topic = F.array_join(words, r"[^\p{L}\p{N}]+")
     pattern = F.concat(F.lit(r"(?i)(?:^|[^\p{L}\p{N}])"), topic, F.lit(r"(?![\p{L}\p{N}])([^.!?]{0,160}?)\s(?:is|are|refers to|means|describes)\s+(?:a|an|the|one|any)\b"))
-    between = F.regexp_extract(collapsed(sample), pattern, F.lit(1))
+    between = F.call_function("regexp_extract", collapsed(sample), pattern, F.lit(1))
     return (F.size(words) > 0) & F.regexp_like(collapsed(sample), pattern) & ~between.rlike(r"(?i)\b(?:which|that|who|whom|whose|where|when|while|if)\b")
 
 

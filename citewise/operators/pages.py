@@ -1,64 +1,12 @@
-"""Rule checks over page facts, and text measures."""
+"""Text measures and the commonest words and phrases of texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewise.functions import exprs as X
 from citewise.functions.text import sentence_count
-from citewise.operators.structure import share_status
-
-#: check: (dimension, weight, pages it applies to, pages it finds at fault).
-CHECKS: dict[str, tuple[str, int, str, str]] = {
-    "title.present": ("onpage", 3, "true", "coalesce(title, '') = ''"),
-    "title.length": ("onpage", 2, "title <> ''", "length(title) not between 20 and 60"),
-    "title.unique": ("onpage", 2, "title <> ''", "n_same_title > 1"),
-    "description.present": ("onpage", 2, "true", "coalesce(description, '') = ''"),
-    "description.length": ("onpage", 1, "description <> ''", "length(description) > 160"),
-    "h1.missing": ("onpage", 2, "true", "size(h1s) = 0"),
-    "h1.multiple": ("onpage", 1, "size(h1s) > 0", "size(h1s) > 1"),
-    "headings.order": ("onpage", 1, "size(headings) > 0", "exists(sequence(0, size(headings) - 1), i -> get(headings, i).level > coalesce(get(headings, i - 1).level, 1) + 1)"),
-    "images.alt": ("onpage", 2, "n_images > 0", "n_missing_alt > 0"),
-    "thin": ("onpage", 2, "true", "n_words < 200"),
-    "lang": ("onpage", 1, "true", "coalesce(lang, '') = ''"),
-    "robots.nofollow": ("onpage", 2, "true", "coalesce(lower(robots), '') rlike 'nofollow|none'"),
-    "robots.noindex": ("crawl", 4, "true", "coalesce(lower(robots), '') rlike 'noindex|none'"),
-    "canonical": ("crawl", 2, "true", "canonical is null"),
-    "refresh": ("crawl", 2, "true", "refresh is not null"),
-    "viewport": ("mobile", 3, "true", "viewport is null"),
-    "images.size": ("mobile", 1, "n_images > 0", "n_missing_size > 0"),
-    "jsonld.valid": ("schema", 2, "n_json_ld_errors > 0 or size(json_ld_types) > 0", "n_json_ld_errors > 0"),
-    "organization": ("schema", 1, "true", "not exists(json_ld_types, t -> t rlike 'Organization$')"),
-    "og": ("schema", 1, "true", "not (map_contains_key(og, 'title') and map_contains_key(og, 'description') and map_contains_key(og, 'image'))"),
-    "mixed": ("https", 3, "true", "n_mixed > 0"),
-    "links.few": ("structure", 1, "true", "size(links) < 3"),
-    "links.many": ("structure", 1, "true", "size(links) > 150"),
-    "anchors.generic": ("structure", 1, "size(links) + n_external > 0", "n_generic_anchors > 0.05 * (size(links) + n_external)"),
-}
-
-
-def with_counts(facts: DataFrame, site: list[str]) -> DataFrame:
-    """facts with n_words of the main text and n_same_title, pages of the site with the same title in any case.
-
-    Titles are counted by a grouping and joined back, so a title that many pages share isn't gathered anywhere.
-    """
-    title = F.lower(F.coalesce("title", F.lit("")))
-    rows = facts.withColumn("n_words", X.count_words(F.col("main_text"))).withColumn("__t", title)
-    same = rows.groupBy(*site, "__t").agg(F.count("*").alias("n_same_title"))
-    return rows.join(same, [*site, "__t"]).drop("__t")
-
-
-def page_checks(pages: DataFrame, site: list[str]) -> DataFrame:
-    """site, check_id, dimension, weight, gate, universe, affected, status: every check of CHECKS over a site's pages in one aggregation."""
-    counts = []
-    for i, (_, _, applies, fault) in enumerate(CHECKS.values()):
-        counts += [F.count_if(F.expr(applies)).alias(f"u{i}"), F.count_if(F.expr(f"({applies}) and ({fault})")).alias(f"a{i}")]
-    wide = pages.groupBy(*site).agg(*counts)
-    rows = [F.struct(F.lit(k).alias("check_id"), F.lit(d).alias("dimension"), F.lit(w).alias("weight"), F.lit(k == "robots.noindex").alias("gate"), F.col(f"u{i}").alias("universe"), F.col(f"a{i}").alias("affected")) for i, (k, (d, w, _, _)) in enumerate(CHECKS.items())]
-    long = wide.select(*site, F.inline(F.array(*rows)))
-    return long.withColumn("status", share_status(F.col("affected"), F.col("universe")))
-
 
 def text_measures(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_words, n_sentences, n_syllables, reading_ease (of texts that look English, else null) of whole texts; nulls for null texts."""
@@ -116,9 +64,3 @@ def phrase_density(df: DataFrame, by: list[str], text: str, top: int = 15, least
     best = c.where(F.when(F.col("ngram").isNotNull(), F.col("count")).otherwise(0) >= max(least, 1)).withColumn("place", F.row_number().over(first)).where(F.col("place") <= top)
     joined = best.alias("x").join(total.alias("y"), [F.col(f"x.{b}").eqNullSafe(F.col(f"y.{b}")) for b in by])
     return joined.select(*(F.col(f"x.{b}").alias(b) for b in by), "n", "place", "ngram", "count", F.round(F.col("count") * F.col("n") / F.col("words"), 4).alias("share"))
-
-
-def title_overlap(title: Column, other: Column) -> Column:
-    """Jaccard of the words of two texts; 0 if either has none."""
-    a, b = F.array_distinct(X.tokens(title)), F.array_distinct(X.tokens(other))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), X.jaccard(a, b)).otherwise(0.0)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citewise.operators import matching as M
+from citewise.operators import checks as C
 from citewise.operators import pages as P
-from citewise.operators import structure as S
+from citewise.operators.duplicates import near_duplicates
 from citewise.sources.logs import log_lines
-from citewise.sources.pages import parse_pages
+from citewise.sources.pages import page_signals, parse_pages
 from citewise.sources.robots import robots_decisions, robots_rules
 from citewise.sources.tables import table
 from citewise.streaming import limits, windows
@@ -101,10 +102,11 @@ def alias_matches(spark: SparkSession, d: str) -> DataFrame:
     return M.match_aliases(table(spark, d, "leads").where("brand is not null").select(F.col("brand").alias("name")).distinct(), "name", aliases)
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_type = 'page_html'")
-    facts = parse_pages(docs, "doc_id", "text")
-    return P.with_counts(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source").join(facts, "doc_id"), ["source"])
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of every page source, with its source (the site), number in it and address."""
+    docs = table(spark, d, "documents").where("doc_type = 'page_html'").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")
+    at = docs.withColumn("url", F.concat(F.lit("https://"), F.coalesce("source", F.lit("none.example")), F.lit("/page-"), "doc_id"))
+    return parse_pages(at, "doc_id", "text", "url").join(at.select("doc_id", "source", "url"), "doc_id")
 
 
 @query(r"""SELECT doc_id::varchar AS doc_id, nullif(trim(regexp_extract(text, '<html lang="([^"]*)"', 1)), '') AS lang,
@@ -114,15 +116,36 @@ def page_facts(spark: SparkSession, d: str) -> DataFrame:
     return facts.select("doc_id", "lang", F.size(F.filter("headings", lambda h: h["level"] == 2)).alias("n_h2"), "n_paragraphs")
 
 
+@query(r"""SELECT doc_id::varchar AS doc_id, len(list_filter(regexp_extract_all(text, '<a href="[^"]*"'), lambda x: starts_with(x, '<a href="/'))) AS n_links, replace(trim(regexp_replace(regexp_extract(text, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS title,
+  len(regexp_extract_all(text, '<h3[^>]*>')) AS n_h3, len(regexp_extract_all(text, '<ul|<ol')) AS n_lists, len(regexp_extract_all(text, '<table')) AS n_tables FROM documents WHERE doc_type = 'page_html' AND text LIKE '%<title>%</title>%</html>%'""")
+def page_structure(spark: SparkSession, d: str) -> DataFrame:
+    whole = table(spark, d, "documents").where("doc_type = 'page_html' AND text LIKE '%<title>%</title>%</html>%'").select(F.col("doc_id").cast("string").alias("doc_id"))
+    f = _facts(spark, d).join(whole, "doc_id", "left_semi")
+    s = page_signals(f, "doc_id", F.col("url"))
+    return s.select("doc_id", "n_links", "title", "n_h3", "n_lists", "n_tables")
+
+
 @query()
-def page_checks(spark: SparkSession, d: str) -> DataFrame:
-    return P.page_checks(_pages(spark, d), ["source"])
+def page_content(spark: SparkSession, d: str) -> DataFrame:
+    """All signals of every page source."""
+    return page_signals(_facts(spark, d), "doc_id", F.col("url"))
 
 
 @query()
-def page_scores(spark: SparkSession, d: str) -> DataFrame:
-    dims = S.dimension_scores(P.page_checks(_pages(spark, d), ["source"]), ["source", "dimension"])
-    return S.overall_score(dims, ["source"], {"crawl": 25.0, "onpage": 20.0, "mobile": 10.0, "https": 10.0, "structure": 10.0, "schema": 10.0})
+def html_site_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The audit of the page sources by themselves: a site is a source, its first page the entry; what only probes tell isn't measured."""
+    f = _facts(spark, d).withColumn("site", F.coalesce("source", F.lit("")))
+    s = page_signals(f, "doc_id", F.col("url")).select("doc_id", "n_words", "n_unique_links", "js_shell", "noindex", "page_type", "last_modified")
+    near = near_duplicates(f.select("doc_id", "main_text"), "doc_id", "main_text").join(f.select("doc_id", "site"), "doc_id")
+    size = near.groupBy("class", "site").agg(F.count("*").alias("c"))
+    near = near.join(size, ["class", "site"]).select("doc_id", (F.col("c") > 1).alias("near_duplicate"))
+    entry = f.groupBy("site").agg(F.min(F.col("doc_id").cast("long")).cast("string").alias("entry"))
+    p = f.join(s, "doc_id").join(near, "doc_id", "left").join(entry, "site").select(
+        "site", "url", F.col("url").alias("final_url"), F.lit(200).alias("status"), "title", "description", "h1s", "headings", "n_words", F.col("n_internal").alias("n_links"), "n_unique_links", "n_nofollow", F.col("n_generic_anchors").alias("n_generic"), "n_images", "n_missing_alt", F.col("n_missing_size").alias("n_missing_dims"),
+        F.col("json_ld_types").alias("types"), F.col("n_json_ld_errors").alias("n_ld_errors"), "has_breadcrumb", "n_mixed", "hreflang", "canonical", "lang", "viewport", "og", "twitter", "has_favicon", "noindex", F.col("refresh").isNotNull().alias("meta_refresh"), "last_modified", "js_shell", "page_type", "links", (F.col("doc_id") == F.col("entry")).alias("is_entry"), "near_duplicate",
+    )
+    sites = p.groupBy("site").agg(F.min(F.when(F.col("is_entry"), F.col("url"))).alias("entry_url"))
+    return C.site_checks(C.Crawl(p, sites, F.lit("2026-10-01").cast("date"))).drop("of_pages")
 
 
 _W = r"[\p{L}\p{N}]+(?:[''’.\-][\p{L}\p{N}]+)*"
@@ -155,6 +178,12 @@ def phrases(spark: SparkSession, d: str) -> DataFrame:
     return P.phrase_density(_prose(spark, d), ["doc_type"], "text")
 
 
+@query()
+def document_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Near copies among all documents: each document's class is the least id it is linked to."""
+    return near_duplicates(table(spark, d, "documents"), "doc_id", "text")
+
+
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Counts by day of a stream that is restated by each batch; the whole stands in the shared folder."""

@@ -49,5 +49,5 @@ def test_registered_queries_run(spark, small):
     assert set(own) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
-    for name in ("p3_found", "p6_found", "competitor_league", "page_scores", "serp_features", "stream_quota"):
+    for name in ("p3_found", "p6_found", "competitor_league", "page_content", "serp_features", "stream_quota"):
         assert own[name](spark, small).count() >= 0
