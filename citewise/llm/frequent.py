@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citewise.session import cut
+
 BUCKETS, CELLS, EVICT_RATIO = 4096, 1 << 16, 8
 BUCKET_SHIFT = 24
 
@@ -85,14 +87,16 @@ def merge(rows: DataFrame) -> DataFrame:
 
     Votes of a value add up; of a bucket's values the one with most stays (ties: the smaller hash), the others fall
     into their cells; cells add up. A value that shared its bucket in any part, or was marked in one, stays marked.
-    Merging is associative in its bounds: n is never more than the rows of the value, n plus its cell never less.
+    Buckets and cells of all parts are added up in one aggregation, at most BUCKETS + CELLS rows a part and field before
+    it and not many more after, and written, so that the parts are sketched once. Merging is associative in its bounds: n is never more than the rows of the value, n plus its cell never less.
     """
-    held = rows.where("bucket is not null").groupBy("field", "bucket", "hash").agg(F.sum("n").alias("n"), F.max("marked").alias("marked"), F.first("item").alias("item"))
+    once = cut(rows.groupBy("field", "bucket", "cell", "hash").agg(F.sum("n").alias("n"), F.max("marked").alias("marked"), F.first("item").alias("item")))
+    held = once.where("bucket is not null").select("field", "bucket", "hash", "n", "marked", "item")
     own = Window.partitionBy("field", "bucket")
     held = held.withColumn("place", F.row_number().over(own.orderBy(F.desc("n"), "hash"))).withColumn("sharing", F.count("*").over(own))
     kept = held.where("place = 1").select("field", "bucket", F.lit(None).cast("int").alias("cell"), "hash", "item", "n", (F.col("marked") | (F.col("sharing") > 1)).alias("marked"))
     fallen = held.where("place > 1").select("field", cell_of("hash").alias("cell"), "n")
-    cells = rows.where("cell is not null").select("field", "cell", "n").unionByName(fallen).groupBy("field", "cell").agg(F.sum("n").alias("n"))
+    cells = once.where("cell is not null").select("field", "cell", "n").unionByName(fallen).groupBy("field", "cell").agg(F.sum("n").alias("n"))
     null = lambda t: F.lit(None).cast(t)
     return kept.unionByName(cells.select("field", null("int").alias("bucket"), "cell", null("long").alias("hash"), null("string").alias("item"), "n", null("boolean").alias("marked")))
 
@@ -108,10 +112,23 @@ def estimates(merged: DataFrame) -> DataFrame:
     return held.select("field", "item", "hash", F.col("n").alias("n_least"), (F.col("n") + F.when(F.col("marked"), F.coalesce("in_cell", F.lit(0))).otherwise(0)).alias("n_most"))
 
 
+def _counted(df: DataFrame, fields: tuple[str, ...], wanted: dict[str, tuple[list[int], list[int]]], least: dict[str, float]) -> DataFrame:
+    """field, item, n of the values of each field with a wanted hash or a hash of a wanted cell, if they reach least: one scan for all fields, counted before the shuffle."""
+    spark = df.sparkSession
+    marks = [(f, h, None) for f, (hashes, _) in wanted.items() for h in hashes] + [(f, None, c) for f, (_, cells) in wanted.items() for c in cells]
+    known = spark.createDataFrame(marks, "field string, hash long, own_cell int")
+    own = df.select(F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("item")) for f in fields)))).where("item <> ''").withColumn("hash", F.xxhash64("item")).withColumn("own_cell", cell_of("hash"))
+    by_hash, by_cell = known.where("hash is not null").select("field", "hash"), known.where("own_cell is not null").select("field", "own_cell", F.lit(True).alias("__cell"))
+    hit = own.join(F.broadcast(by_cell), ["field", "own_cell"], "left").join(F.broadcast(by_hash.withColumn("__hash", F.lit(True))), ["field", "hash"], "left").where("__cell or __hash")
+    counted = hit.groupBy("field", "item").agg(F.count("*").alias("n"))
+    need = F.create_map(*(F.lit(x) for f, n in least.items() for x in (f, float(n))))[F.col("field")]
+    return counted.where(F.col("n") >= need)
+
+
 def frequent(df: DataFrame, fields: tuple[str, ...], k: int = 50) -> DataFrame:
     """field, place, item, n_least, n_most: exactly the k values of each field with most rows, in a second counted scan; n_least = n_most = rows.
 
-    Ties go to the smaller hash. Equal values written differently are different values. An empty table gives no rows.
+    Ties go by item. Equal values written differently are different values. An empty table gives no rows.
     The k-th greatest n_least is reached by k values, so none below it is among the k. A value that reaches it either
     has it as n_most in a bucket or is in a cell that alone reaches it: the rows of these cells are counted, and only
     the numbers of the cells (CELLS a field at most) are collected and broadcast.
@@ -120,21 +137,16 @@ def frequent(df: DataFrame, fields: tuple[str, ...], k: int = 50) -> DataFrame:
     held = estimates(merged)
     place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n_least"), "hash"))
     kth = held.select("field", "n_least", place.alias("place")).where(F.col("place") <= k).groupBy("field").agg(F.when(F.count("*") == k, F.min("n_least")).otherwise(1).alias("least"))
-    least = {r["field"]: r["least"] for r in kth.collect()}
+    least = {f: 1 for f in fields} | {r["field"]: r["least"] for r in kth.collect()}
     reach = F.lit(False)
     for f, n in least.items():
         reach = reach | ((F.col("field") == f) & (F.col("n") >= n))
     near = held.select("field", cell_of("hash").alias("cell"), F.col("n_most").alias("n")).where(reach)
     cells = near.unionByName(merged.where("cell is not null").select("field", "cell", "n").where(reach)).select("field", "cell").distinct().collect()
     merged.unpersist()
-    out = None
-    for f in fields:
-        own = df.select(F.col(f).alias("item")).where(F.col("item") != "").withColumn("hash", F.xxhash64("item")).withColumn("own_cell", cell_of("hash"))
-        mine = df.sparkSession.createDataFrame([(r["cell"],) for r in cells if r["field"] == f], "own_cell int")
-        counted = own.join(F.broadcast(mine), "own_cell", "left_semi").groupBy("item", "hash").agg(F.count("*").alias("n_least")).where(F.col("n_least") >= least.get(f, 1))
-        part = counted.select(F.lit(f).alias("field"), "item", "hash", "n_least", F.col("n_least").alias("n_most"))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("place", place).where(F.col("place") <= k).select("field", "place", "item", "n_least", "n_most")
+    counted = _counted(df, fields, {f: ([], [r["cell"] for r in cells if r["field"] == f]) for f in fields}, least)
+    best = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "item"))
+    return counted.withColumn("place", best).where(F.col("place") <= k).select("field", "place", "item", F.col("n").alias("n_least"), F.col("n").alias("n_most"))
 
 
 def at_least(df: DataFrame, fields: tuple[str, ...], share: float, n_rows: int | None = None) -> DataFrame:
@@ -150,12 +162,5 @@ def at_least(df: DataFrame, fields: tuple[str, ...], share: float, n_rows: int |
     hashes = estimates(merged).where(F.col("n_most") >= least).select("field", "hash").collect()
     cells = merged.where((F.col("cell").isNotNull()) & (F.col("n") >= least)).select("field", "cell").collect()
     merged.unpersist()
-    out = None
-    for f in fields:
-        h, c = [r["hash"] for r in hashes if r["field"] == f], [r["cell"] for r in cells if r["field"] == f]
-        own = df.select(F.col(f).alias("item")).where(F.col("item") != "").withColumn("hash", F.xxhash64("item"))
-        hit = F.col("hash").isin(h) if h else F.lit(False)
-        hit = hit | cell_of("hash").isin(c) if c else hit
-        part = own.where(hit).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.lit(f).alias("field"), "item", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    wanted = {f: ([r["hash"] for r in hashes if r["field"] == f], [r["cell"] for r in cells if r["field"] == f]) for f in fields}
+    return _counted(df, fields, wanted, dict.fromkeys(fields, least))

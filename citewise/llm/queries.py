@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citewise.llm.bpe import token_counts, token_ids
@@ -80,7 +80,32 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), PIECE_TOKENS, PIECE_OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p2_days_combined, p2_accuracy, p4_found, p4_frequent, p5_found, p5_redacted, p7_ids, p8_containers, p9_pieces)}
+def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, those without ids, and ids outside the vocabulary, of p7_ids."""
+    ids = p7_ids(spark, sf_dir)
+    return ids.agg(F.count("*").alias("n_docs"), F.count_if(F.size("ids") == 0).alias("n_empty"), F.coalesce(F.sum(F.size(F.filter("ids", lambda i: (i < 0) | (i >= 50257)))), F.lit(0)).alias("n_outside"))
+
+
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers, containers too full, documents split that fit one, and tokens lost, of p8_containers."""
+    packed = p8_containers(spark, sf_dir)
+    over = packed.groupBy("container").agg(F.sum("n_tokens").alias("t")).agg(F.count_if(F.col("t") > CONTAINER_TOKENS).alias("n_over"))
+    docs = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
+    whole = token_counts(table(spark, sf_dir, "documents")).join(docs, "doc_id", "left")
+    split = whole.agg(F.count("t").alias("n_docs"), F.count_if((F.col("n") > 1) & (F.col("n_tokens") <= CONTAINER_TOKENS)).alias("n_split"), F.coalesce(F.sum("n_tokens") - F.sum("t"), F.lit(0)).alias("n_lost"))
+    return split.withColumn("n_over", over.scalar())
+
+
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in pieces, pieces too large, documents not covered from first to last character, and neighbours that leave a gap, of p9_pieces."""
+    p = p9_pieces(spark, sf_dir).select("doc_id", "piece", "start_pos", "end_pos", "n_tokens")
+    before = F.lag("end_pos").over(Window.partitionBy("doc_id").orderBy("piece"))
+    per = p.withColumn("gap", F.coalesce(F.col("start_pos") > before, F.lit(False))).groupBy("doc_id").agg(F.min("start_pos").alias("a"), F.max("end_pos").alias("b"), F.count_if("gap").alias("g"), F.count_if((F.col("n_tokens") > PIECE_TOKENS) & (F.col("end_pos") - F.col("start_pos") > 1)).alias("o"))
+    j = per.join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars")), "doc_id")
+    return j.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("o"), F.lit(0)).alias("n_over"), F.count_if((F.col("a") != 0) | (F.col("b") != F.col("chars"))).alias("n_uncovered"), F.coalesce(F.sum("g"), F.lit(0)).alias("n_gaps"))
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p2_days_combined, p2_accuracy, p4_found, p4_frequent, p5_found, p5_redacted, p7_ids, p7_counts, p8_containers, p8_invariants, p9_pieces, p9_invariants)}
 ORACLE: dict[str, str] = {
     "p2_accuracy": r"""
 WITH once AS (SELECT DISTINCT id, endpoint, created_at::date AS day, duration_ms, cost_micro_usd FROM api_requests WHERE id IS NOT NULL),
@@ -88,6 +113,12 @@ bare AS (SELECT regexp_replace(regexp_replace(trim(endpoint), '\s+', ' ', 'g'),
 long AS (SELECT e, 'duration_ms' AS metric, duration_ms AS v FROM bare UNION ALL SELECT e, 'cost_micro_usd', cost_micro_usd FROM bare)
 SELECT upper(regexp_extract(e, '^[^ ]*')) || ' ' || regexp_extract(e, '[^ ]*$') AS endpoint, metric, p.prob, count(*) AS n, true AS within
 FROM long CROSS JOIN (SELECT unnest([0.5, 0.9, 0.95, 0.99])::double AS prob) p WHERE v >= 0 GROUP BY 1, 2, 3""",
+    "p4_frequent": """
+WITH long AS (SELECT 'page' AS field, page AS item FROM gsc_daily UNION ALL SELECT 'query', query FROM gsc_daily), c AS (SELECT field, item, count(*) AS n FROM long WHERE item <> '' GROUP BY 1, 2)
+SELECT field, place, item, n AS n_least, n AS n_most FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, item) AS place FROM c) WHERE place <= 50""",
+    "p7_counts": "SELECT count(*) AS n_docs, count(*) FILTER (coalesce(text, '') = '') AS n_empty, 0 AS n_outside FROM documents",
+    "p8_invariants": "SELECT count(*) AS n_docs, 0 AS n_split, 0 AS n_lost, 0 AS n_over FROM documents",
+    "p9_invariants": "SELECT count(*) AS n_docs, 0 AS n_over, 0 AS n_uncovered, 0 AS n_gaps FROM documents WHERE text <> ''",
     "p4_found": """
 WITH long AS (SELECT 'page' AS field, page AS item FROM gsc_daily UNION ALL SELECT 'query', query FROM gsc_daily)
 SELECT field, item FROM long WHERE item IS NOT NULL AND item <> '' GROUP BY 1, 2 HAVING count(*) >= 0.01 * (SELECT count(*) FROM gsc_daily)""",
