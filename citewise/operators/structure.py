@@ -162,14 +162,12 @@ def audit_row_errors(rows: DataFrame) -> DataFrame:
     t = rows.select("row", *(clean(c).alias(c) for c in ("run_id", "answer_status", "citation_count")), *(F.lower(clean(c)).alias(c) for c in ("brand_mentioned", "brand_recommended")))
     on, off = F.col("answer_status") == "available", F.col("answer_status") == "unavailable"
     count = F.col("citation_count").try_cast("int")
+    issue = lambda code, field, value: F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), value.alias("value"))
     found = F.array(
-        F.when(F.col("run_id") == "", F.struct(F.lit("blank_run_id").alias("code"), F.lit("").alias("field"), F.lit(None).cast("string").alias("value"))),
-        F.when(~on & ~off, F.struct(F.lit("invalid_answer_status"), F.lit(""), F.col("answer_status"))),
-        *(x for f in ("brand_mentioned", "brand_recommended") for x in (
-            F.when(on & ~F.col(f).isin("true", "false"), F.struct(F.lit("invalid_boolean"), F.lit(f), F.col(f))), F.when(off & (F.col(f) != ""), F.struct(F.lit("unavailable_field_must_be_blank"), F.lit(f), F.col(f))),
-        )),
-        F.when(on & (count.isNull() | (count < 0)), F.struct(F.lit("invalid_citation_count"), F.lit(""), F.col("citation_count"))),
-        F.when(~on & (F.col("citation_count") != ""), F.struct(F.lit("unavailable_field_must_be_blank"), F.lit("citation_count"), F.col("citation_count"))),
+        F.when(F.col("run_id") == "", issue("blank_run_id", "", F.lit(None).cast("string"))), F.when(~on & ~off, issue("invalid_answer_status", "", F.col("answer_status"))),
+        *(F.when(on & ~F.col(f).isin("true", "false"), issue("invalid_boolean", f, F.col(f))) for f in ("brand_mentioned", "brand_recommended")),
+        *(F.when(off & (F.col(f) != ""), issue("unavailable_field_must_be_blank", f, F.col(f))) for f in ("brand_mentioned", "brand_recommended")),
+        F.when(on & (count.isNull() | (count < 0)), issue("invalid_citation_count", "", F.col("citation_count"))), F.when(~on & (F.col("citation_count") != ""), issue("unavailable_field_must_be_blank", "citation_count", F.col("citation_count"))),
     )
     broken = t.select("row", F.inline(F.filter(found, lambda x: x.isNotNull())))
     keyed = t.where("run_id <> ''").select("run_id", "row")
