@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewise.functions import exprs as X
 from citewise.functions.text import sentence_count
 
+
 def text_measures(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_words, n_sentences, n_syllables, reading_ease (of texts that look English, else null) of whole texts; nulls for null texts."""
     words = F.regexp_extract_all(F.col(text), F.lit(X.WORD), 0)
@@ -29,6 +32,39 @@ def ngram_density(df: DataFrame, by: list[str], text: str, n: int, top: int = 15
     return best.join(total, by).select(*by, "place", "ngram", "count", F.round(F.col("count") / F.col("total"), 4).alias("share"))
 
 
+# Words of visible text, what is no plain paragraph, the lengths of openings (words) and paragraphs (sentences) that are long.
+VISIBLE_WORD = r"[A-Za-z0-9][A-Za-z0-9'’.-]*"
+PICTURE, LINK, FENCE = r"!\[[^\]]*\]\([^)]*\)", r"\[[^\]]+\]\(([^)\s]+)\)", r"```(?:[^`]|`[^`]|``[^`])*```"
+LISTED = r"^[ \t\n]*(?:#{3}|[-*]|[0-9]+\.|\||!\[)"
+NOT_PLAIN = r"^[ \t\n]*(?:#|[-*]|[0-9]+\.|\||!\[|>)"
+LONG_OPENING, LONG_PARAGRAPH = 75, 5
+
+
+def visible_words(text: Column) -> Column:
+    """How many words of a Markdown text a reader sees: no code blocks, pictures, addresses, tags and marks."""
+    for pattern, to in ((FENCE, " "), (PICTURE, " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"<[^>]+>", " "), (r"https?://[^ \t\n\r]+", " "), (r"[#>*_`|-]", " ")):
+        text = F.regexp_replace(text, pattern, to)
+    return F.size(F.regexp_extract_all(text, F.lit(VISIBLE_WORD), 0))
+
+
+def markdown_measures(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    """key and of each whole Markdown text: n_words, n_pictures, n_external, n_internal (links; host is its own), n_h2, n_questions (of n_h2), n_listed (sections that open with a list, table, picture or heading), n_long_openings, n_long_paragraphs; nulls for a null text."""
+    t = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
+    bare = F.regexp_replace(t, FENCE, "")
+    links = F.regexp_extract_all(F.regexp_replace(t, PICTURE, ""), F.lit(LINK), 1)
+    own = rf"^https?://(?:www\.)?{re.escape(host)}(?:[/?#]|$)"
+    heads = F.regexp_extract_all(F.concat(F.lit("\n"), bare), F.lit(r"\n##[ \t]+([^\n]+)"), 1)
+    parts = F.split(F.concat(F.lit("\n"), bare), r"\n##[ \t]+[^\n]+")
+    opening = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x: F.split(F.regexp_replace(x, r"^[ \t\n]+", ""), r"\n[ \t]*\n")[0])
+    plain = F.filter(F.split(t, r"\n[ \t\n]*\n"), lambda x: ~x.rlike(NOT_PLAIN))
+    count = lambda xs, f: F.size(F.filter(xs, f))
+    return df.select(
+        key, visible_words(t).alias("n_words"), F.size(F.regexp_extract_all(t, F.lit(r"!\[[^\]]*\]\(https?://[^)\s]+\)"), 0)).alias("n_pictures"), count(links, lambda u: u.rlike("^https://") & ~u.rlike(own)).alias("n_external"), count(links, lambda u: u.rlike("^/(?:[^/]|$)") | u.rlike(own)).alias("n_internal"),
+        F.size(heads).alias("n_h2"), count(heads, lambda h: h.rlike(r"\?[ \t]*$")).alias("n_questions"), count(opening, lambda o: o.rlike(LISTED)).alias("n_listed"), count(opening, lambda o: ~o.rlike(LISTED) & (visible_words(o) > LONG_OPENING)).alias("n_long_openings"),
+        count(plain, lambda x: F.size(F.regexp_extract_all(x, F.lit(r"[.!?](?:[ \t\n]|$)"), 0)) > LONG_PARAGRAPH).alias("n_long_paragraphs"),
+    )
+
+
 # Words that no n-gram begins or ends with, and words as the page tools count them, with inner apostrophes and hyphens.
 STOP_WORDS = tuple(
     "a an and are as at be but by for from has have he her his i if in into is it its me my no not of on or our she so than that the their them then there these they this to too us was we were what when where which who "

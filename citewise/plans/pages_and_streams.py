@@ -167,6 +167,26 @@ def _prose(spark: SparkSession, d: str) -> DataFrame:
     return docs.where(~page).unionByName(main)
 
 
+
+_FENCE, _PICTURE = r"```(?:[^`]|`[^`]|``[^`])*```", r"!\[[^\]]*\]\([^)]*\)"
+
+
+def _visible(t: str) -> str:
+    """visible_words in DuckDB's SQL."""
+    for pattern, to in ((_FENCE, " "), (_PICTURE, " "), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), ("<[^>]+>", " "), (r"https?://[^ \t\n\r]+", " "), (r"[#>*_`|-]", " ")):
+        t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
+    return f"len(regexp_extract_all({t}, '[A-Za-z0-9][A-Za-z0-9''’.-]*'))"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS t FROM documents), b AS (SELECT doc_id, t, chr(10) || regexp_replace(t, '{_FENCE}', '', 'g') AS bare, regexp_extract_all(regexp_replace(t, '{_PICTURE}', '', 'g'), '\[[^\]]+\]\(([^)\s]+)\)', 1) AS links FROM d),
+c AS (SELECT *, regexp_extract_all(bare, '\n##[ \t]+([^\n]+)', 1) AS heads, list_transform(regexp_split_to_array(bare, '\n##[ \t]+[^\n]+')[2:], lambda x: regexp_split_to_array(regexp_replace(x, '^[ \t\n]+', ''), '\n[ \t]*\n')[1]) AS opening, list_filter(regexp_split_to_array(t, '\n[ \t\n]*\n'), lambda x: NOT regexp_matches(x, '^[ \t\n]*(?:#|[-*]|[0-9]+\.|\||!\[|>)')) AS plain FROM b)
+SELECT doc_id, {_visible('t')} AS n_words, len(regexp_extract_all(t, '!\[[^\]]*\]\(https?://[^)\s]+\)')) AS n_pictures, len(list_filter(links, lambda u: regexp_matches(u, '^https://') AND NOT regexp_matches(u, '^https?://(?:www\.)?example\.com(?:[/?#]|$)'))) AS n_external, len(list_filter(links, lambda u: regexp_matches(u, '^/(?:[^/]|$)') OR regexp_matches(u, '^https?://(?:www\.)?example\.com(?:[/?#]|$)'))) AS n_internal,
+ len(heads) AS n_h2, len(list_filter(heads, lambda h: regexp_matches(h, '\?[ \t]*$'))) AS n_questions, len(list_filter(opening, lambda o: regexp_matches(o, '^[ \t\n]*(?:#{{3}}|[-*]|[0-9]+\.|\||!\[)'))) AS n_listed, len(list_filter(opening, lambda o: NOT regexp_matches(o, '^[ \t\n]*(?:#{{3}}|[-*]|[0-9]+\.|\||!\[)') AND {_visible('o')} > 75)) AS n_long_openings,
+ len(list_filter(plain, lambda x: len(regexp_extract_all(x, '[.!?](?:[ \t\n]|$)')) > 5)) AS n_long_paragraphs FROM c""")
+def text_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown measures of all documents as they are."""
+    return P.markdown_measures(table(spark, d, "documents"), "doc_id", "text", "example.com")
+
 @query()
 def reading_ease(spark: SparkSession, d: str) -> DataFrame:
     return P.text_measures(_prose(spark, d), "doc_id", "text")

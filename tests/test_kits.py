@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citewise.functions import misc as M
 from citewise.operators import answers as A
+from citewise.operators import pages as Q
 from citewise.operators import pairs as P
 from citewise.operators import ranking as R
 from citewise.operators import structure as S
@@ -125,6 +126,13 @@ def test_robots_and_sitemaps(spark):
     assert {(r["item"], r["status"]) for r in T.sitemap_items(e, "k", F.lit("e.example")).collect()} == {("entries", "pass"), ("copies", "pass"), ("other hosts", "pass"), ("unread days", "pass"), ("share with days", "info")}
 
 
+def test_markdown(spark):
+    text = "Start [a](https://x.example/y) and [b](/in) ![p](https://x.example/p.png).\r\n\r\n## What now?\n\nOne. Two. Three. Four. Five. Six.\n\n## List\n- a\n\n## Long\n" + "word " * 80 + "\n\n```\n## no\n```\n[own](https://www.e.example/)"
+    got = Q.markdown_measures(spark.createDataFrame([(1, text), (2, ""), (3, None)], "k int, t string"), "k", "t", "e.example").orderBy("k").collect()
+    assert tuple(got[0])[1:] == (96, 1, 1, 2, 3, 1, 1, 1, 1)
+    assert tuple(got[1])[1:] == (0,) * 9 and set(tuple(got[2])[1:]) == {None}
+
+
 def test_pictures():
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
     jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + (480).to_bytes(2, "big") + (640).to_bytes(2, "big") + b"\0\0\0\0"
