@@ -57,6 +57,17 @@ def p6_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects(_sources(spark, sf_dir))
 
 
+def p6_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p6_nodes holds, added up: nodes, their places in arrays, and characters of strings, by source, shape and kind."""
+    text = F.when(F.col("kind") == "string", F.length("scalar"))
+    return p6_nodes(spark, sf_dir).groupBy("src", "shape", "kind").agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("n_records"), F.sum("ordinal").alias("places"), F.sum(text).alias("n_chars"), F.count("parent").alias("n_below"))
+
+
+def p6_object_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p6_objects holds, added up: objects, their scalar fields and those with a containing object, by source and shape."""
+    return p6_objects(spark, sf_dir).groupBy("src", "shape").agg(F.count("*").alias("n"), F.sum(F.size("fields")).alias("n_fields"), F.count("parent_node").alias("n_below"), F.sum("ordinal").alias("places"))
+
+
 def p6_serp_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_table(table(spark, sf_dir, "dfs_serp_advanced"), "record_id", "payload", "fetched_at", "tasks[].result[].items[]", SERP_FIELDS)
 
@@ -69,7 +80,7 @@ def p6_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_table(table(spark, sf_dir, "audits"), "id", "result", "loaded_at", "matrix[]", ANSWER_FIELDS)
 
 
-QUERIES = {f.__name__: f for f in (p1_rolling, p3_found, p3_counts, p6_found, p6_nodes, p6_objects, p6_serp_items, p6_anchors, p6_answers)}
+QUERIES = {f.__name__: f for f in (p1_rolling, p3_found, p3_counts, p6_found, p6_nodes, p6_objects, p6_shapes, p6_object_shapes, p6_serp_items, p6_anchors, p6_answers)}
 
 _DAY = """coalesce(
   try_strptime(regexp_extract(trim(date), '^([0-9]{4}-[0-9]{2}-[0-9]{2})([T ].*)?$', 1), '%Y-%m-%d'),
@@ -132,6 +143,20 @@ ORACLE["p6_found"] = _tree("""SELECT 'audits' AS src, id AS record_id, loaded_at
 SELECT DISTINCT src, record_id, replace(regexp_replace(fullkey, '^\$\.?', ''), '"', '') AS path FROM tree WHERE type = 'OBJECT' AND ends_with(fullkey, ']')"""
 
 
+_THREE = """SELECT 'audits' AS src, id AS record_id, loaded_at AS got_at, result AS p FROM audits
+  UNION ALL SELECT 'dfs_backlinks_anchors', record_id, fetched_at, payload FROM dfs_backlinks_anchors
+  UNION ALL SELECT 'dfs_serp_advanced', record_id, fetched_at, payload FROM dfs_serp_advanced"""
+_SHAPE = r"""replace(regexp_replace(regexp_replace(fullkey, '^\$\.?', ''), '\[\d+\]', '[]', 'g'), '"', '')"""
+ORACLE["p6_shapes"] = _tree(_THREE) + rf"""
+SELECT src, {_SHAPE} AS shape, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS kind,
+  count(*) AS n, count(DISTINCT record_id) AS n_records, sum(CASE WHEN ends_with(fullkey, ']') THEN key::bigint END)::bigint AS places, sum(CASE WHEN type = 'VARCHAR' THEN length(json_extract_string(value, '$')) END)::bigint AS n_chars, count(parent) AS n_below
+FROM tree GROUP BY 1, 2, 3"""
+ORACLE["p6_object_shapes"] = _tree(f"SELECT DISTINCT src, record_id, NULL AS got_at, p FROM ({_THREE}) x") + rf"""
+, one AS (SELECT src, record_id, hash(p) AS doc, j.id, j.parent, j.type, j.fullkey, j.key FROM docs, json_tree(docs.q) j), f AS (SELECT src, record_id, doc, parent AS id, count(DISTINCT key) AS n FROM one WHERE type NOT IN ('OBJECT', 'ARRAY') AND NOT ends_with(fullkey, ']') GROUP BY 1, 2, 3, 4)
+SELECT src, {_SHAPE} AS shape, count(*) AS n, sum(coalesce(f.n, 0))::bigint AS n_fields, count(o.parent) AS n_below, sum(CASE WHEN ends_with(fullkey, ']') THEN key::bigint END)::bigint AS places
+FROM one o LEFT JOIN f USING (src, record_id, doc, id) WHERE type = 'OBJECT' GROUP BY 1, 2"""
+
+
 def _entities(table_name: str, record_id: str, text: str, at: str, shape: str, fields: tuple[str, ...]) -> str:
     values = ", ".join(f"""max(CASE WHEN t.fullkey = o.fullkey || '.{f}' AND t.type NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(t.value, '$') END) AS "{f}" """ for f in fields)
     latest = f"SELECT 's' AS src, {record_id} AS record_id, {at} AS got_at, {text} AS p FROM (SELECT DISTINCT {record_id}, {at}, {text} FROM {table_name} WHERE {text} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {record_id} ORDER BY {at} DESC) = 1)"
