@@ -59,6 +59,17 @@ def log_agents(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("r.token", "r.category", F.array_join("providers", ";").alias("providers")).agg(F.count("*").alias("n"))
 
 
+OWNERS = {"GallioBot": "low", "FencitBot": "high", "Marun": "none", "WixlioBot": "wide"}
+
+
+@query(LINES + f"""SELECT claimed_token, claimed_category, ip_verification, sum(n)::bigint AS requests FROM (
+  SELECT CASE WHEN ok THEN split_part(t, '|', 1) ELSE '_TOTAL' END AS claimed_token, CASE WHEN ok THEN split_part(t, '|', 2) ELSE 'all' END AS claimed_category,
+  CASE WHEN NOT coalesce(ok, false) THEN 'malformed_lines' WHEN split_part(t, '|', 1) NOT IN ('GallioBot', 'FencitBot', 'WixlioBot') THEN 'not_checked' WHEN v4 AND CASE split_part(t, '|', 1) WHEN 'GallioBot' THEN net AND h < 128 WHEN 'FencitBot' THEN net AND h >= 128 ELSE starts_with(p.ip, '192.0.') END THEN 'verified' ELSE 'mismatch' END AS ip_verification, 1 AS n
+  FROM (SELECT *, {_TOKEN} AS t, regexp_matches(p.ip, '^(25[0-5]|2[0-4]\\d|1?\\d?\\d)([.](25[0-5]|2[0-4]\\d|1?\\d?\\d)){{3}}$') AS v4, starts_with(p.ip, '192.0.2.') AS net, try_cast(split_part(p.ip, '.', 4) AS int) AS h FROM g) UNION ALL SELECT '_TOTAL', 'all', 'malformed_lines', 0) GROUP BY 1, 2, 3""")
+def log_summary(spark: SparkSession, d: str) -> DataFrame:
+    return M.log_summary(_lines(spark, d), AGENT_RULES, OWNERS, [*RANGES, ("wide", "2001:db8::/32")])
+
+
 ROBOTS = """
 User-Agent: ExampleBot
 Disallow: /blog/

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citewise.functions import misc as M
 from citewise.operators import answers as A
+from citewise.operators import matching as K
 from citewise.operators import pages as Q
 from citewise.operators import pairs as P
 from citewise.operators import ranking as R
@@ -16,6 +17,7 @@ from citewise.operators import structure as S
 from citewise.operators import tools as T
 from citewise.operators import validators as V
 from citewise.sources import files
+from citewise.sources import logs as L
 
 # Fixed golden input: addresses, their bases, keys and statuses.
 URLS = [
@@ -126,6 +128,15 @@ def test_robots_and_sitemaps(spark):
     assert {(r["item"], r["status"]) for r in T.sitemap_items(e, "k", F.lit("e.example")).collect()} == {("entries", "pass"), ("copies", "pass"), ("other hosts", "pass"), ("unread days", "pass"), ("share with days", "info")}
 
 
+def test_log_summary(spark):
+    line = lambda ip, agent: f'{ip} - - [01/Jan/2026:00:00:00 +0000] "GET / HTTP/1.1" 200 5 "-" "{agent}"'
+    lines = [line("192.0.2.9", "x OneBot/1"), line("203.0.113.9", "onebot"), line("2001:db8::7", "OneBot"), line("host", "OneBot"), line("192.0.2.9", "TwoBot"), line("192.0.2.9", "curl"), "broken", None]
+    df = L.log_lines(spark.createDataFrame([(x,) for x in lines], "line string"), "line")
+    got = K.log_summary(df, [("OneBot", "search"), ("TwoBot", "user")], {"OneBot": "one", "TwoBot": "two"}, [("one", "192.0.2.77/24"), ("one", "2001:db8::1/32")])
+    assert rows(got) == [("OneBot", "search", "mismatch", 2), ("OneBot", "search", "verified", 2), ("TwoBot", "user", "not_checked", 1), ("_TOTAL", "all", "malformed_lines", 2), ("unknown", "unknown", "not_checked", 1)]
+    assert rows(K.log_summary(df.limit(0), [], {}, [])) == [("_TOTAL", "all", "malformed_lines", 0)]
+
+
 def test_markdown(spark):
     text = "Start [a](https://x.example/y) and [b](/in) ![p](https://x.example/p.png).\r\n\r\n## What now?\n\nOne. Two. Three. Four. Five. Six.\n\n## List\n- a\n\n## Long\n" + "word " * 80 + "\n\n```\n## no\n```\n[own](https://www.e.example/)"
     got = Q.markdown_measures(spark.createDataFrame([(1, text), (2, ""), (3, None)], "k int, t string"), "k", "t", "e.example").orderBy("k").collect()
