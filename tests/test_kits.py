@@ -18,6 +18,7 @@ from citewise.operators import tools as T
 from citewise.operators import validators as V
 from citewise.sources import files
 from citewise.sources import logs as L
+from citewise.sources.tables import read_jdbc, write_jdbc
 
 # Fixed golden input: addresses, their bases, keys and statuses.
 URLS = [
@@ -114,6 +115,17 @@ def test_files(spark, tmp_path):
     assert [r["d"] for r in files.unfinished(spark.createDataFrame([("a",), ("b",)], "d string"), done, "d").collect()] == ["b"]
 
 
+def test_jdbc(spark):
+    url, driver = "jdbc:derby:memory:kits;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.createDataFrame([(i, f"n{i}", None if i % 3 else i / 2) for i in range(100)], "id int, name string, x double")
+    write_jdbc(df, url, "T1", driver=driver)
+    write_jdbc(df.where("id < 5"), url, "T1", driver=driver)
+    got = read_jdbc(spark, url, "T1", "id", 4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 105 and got.where("id = 3").count() == 2
+    write_jdbc(df.limit(0), url, "T2", driver=driver)
+    assert read_jdbc(spark, url, "T2", "id", driver=driver).count() == read_jdbc(spark, url, "T2", driver=driver).count() == 0
+
+
 def test_robots_and_sitemaps(spark):
     r = T.read_robots("User-agent: a\nUser-agent: B\nDisallow: /x\nAllow: /x/y$\nCrawl-delay: 3\nOdd: 1\nSitemap: /m.xml\nUser-agent: *\nDisallow: /")
     assert [T.deciding_rule(r, p, a)[:2] for p, a in (("/x/y", "b"), ("/x/yz", "b"), ("/q", "b"), ("/q", "c"))] == [(True, "Allow: /x/y$"), (False, "Disallow: /x"), (True, None), (False, "Disallow: /")]
