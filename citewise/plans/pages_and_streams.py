@@ -203,6 +203,19 @@ def reading_ease(spark: SparkSession, d: str) -> DataFrame:
     return P.text_measures(_prose(spark, d), "doc_id", "text")
 
 
+_EDGE = "{0} NOT IN (" + ", ".join(f"'{w}'" for w in P.STOP_WORDS) + ") AND length({0}) >= 2 AND NOT regexp_matches({0}, '^[0-9]+$')"
+
+
+@query(rf"""WITH w AS (SELECT doc_type, regexp_extract_all(lower(text), '{P.PHRASE_WORD.replace("'", "''")}') AS w FROM documents), r AS (SELECT doc_type, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+t AS (SELECT doc_type, a, b, c, {_EDGE.format("a")} AS x, {_EDGE.format("b")} AS y, {_EDGE.format("c")} AS z, length(b) >= 2 AND NOT regexp_matches(b, '^[0-9]+$') AS m FROM (SELECT doc_type, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM r)),
+g AS (SELECT doc_type, 1 AS n, a AS ngram FROM t WHERE x UNION ALL SELECT doc_type, 2, a || ' ' || b FROM t WHERE x AND y UNION ALL SELECT doc_type, 3, a || ' ' || b || ' ' || c FROM t WHERE x AND m AND z),
+k AS (SELECT doc_type, n, ngram, count(*) AS count, row_number() OVER (PARTITION BY doc_type, n ORDER BY count(*) DESC, ngram) AS place FROM g GROUP BY 1, 2, 3), s AS (SELECT doc_type AS d, count(*) AS words FROM t GROUP BY 1)
+SELECT doc_type, n, place, ngram, count, round(count * n / words, 4) AS share FROM k JOIN s ON d IS NOT DISTINCT FROM doc_type WHERE count >= 2 AND place <= 15""")
+def text_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases of all documents as they are, markup with them, by doc_type."""
+    return P.phrase_density(table(spark, d, "documents"), ["doc_type"], "text")
+
+
 @query()
 def phrases(spark: SparkSession, d: str) -> DataFrame:
     """Phrases of one, two and three words of all documents by doc_type."""
