@@ -58,6 +58,7 @@ class View:
 
     def __init__(self, text: str):
         self.text = text
+        self.words: set[str] = set()
         self.start: list[int] | None = None
         self.end: list[int] | None = None
 
@@ -117,8 +118,10 @@ def normalised(text: str) -> View:
     v = View(text)
     if not text.isascii():
         v.rewrite(_STRANGE, _plain)
-    low = v.text.lower()
-    if len(_DIGIT_WORDS.intersection(WORD.findall(low))) > 1:
+    seen = v.text
+    low = seen.lower()
+    v.words = set(WORD.findall(low))
+    if len(_DIGIT_WORDS.intersection(v.words)) > 1:
         v.rewrite(_SPELLED, _digits)
     if " dot " in low and " at " in low:
         v.rewrite(_LOWER, lambda m: re.sub(" dot ", ".", re.sub(" at ", "@", m[0], flags=re.I), flags=re.I))
@@ -126,6 +129,8 @@ def normalised(text: str) -> View:
         v.rewrite(_AT_WORD, lambda m: "@")
     if "@" in v.text and (" . " in v.text or "dot" in low):
         v.rewrite(_DOT, lambda m: ".")
+    if v.text is not seen:
+        v.words = set(WORD.findall(v.text.lower()))
     return v
 
 
@@ -146,7 +151,7 @@ ID_WORDS = [
     ("ssn", "social", "sin"), ("nino", "ni", "national"), ("steuer", "idnr"), ("nir", "numéro", "sécurité", "insee"), ("dni", "nif", "nie"),
     ("passport", "reisepass", "passeport", "pasaporte", "id", "identity", "personalausweis", "ausweis", "carte", "driving", "driver", "licen", "führerschein", "permis", "tax", "curp", "rfc"),
 ]
-_ANY_ID = tuple(w for own in ID_WORDS for w in own)
+_ID_WORD = re.compile(rf"(?<![^\W\d_])({'|'.join(sorted((w for own in ID_WORDS for w in own), reverse=True))})")
 
 
 _SEP = r"(?: ?/ ?|[.-]| )"
@@ -160,6 +165,9 @@ PHONES = [
 ]
 CALL = re.compile(rf"(?i:\b(?:tel|tél|telefon|telephone|phone|mobile|cell|whatsapp|call me on|call|text me|handy|fax|appeler le|contacto|ruf)\b[ .:=]{{1,3}})(\+?\(?\d[\d ()./-]{{6,18}}\d){_EXT}(?![\w])")
 
+#: Nine digits with nothing but separators between them, which each phone number has.
+_PHONE_LIKE = re.compile(r"(?:\d[ ()./-]{0,18}){8}\d")
+
 _NAMES = rf"(?:[{UP}][\w'-]*\.?)(?: [{UP}][\w'-]*){{0,2}}"
 ADDRESSES = [
     re.compile(rf"(?<![\w.:/#-])\d{{1,5}}[a-zA-Z]?,? {_NAMES} (?:(?i:{STREET_AFTER}))(?![\w'])"),
@@ -168,8 +176,11 @@ ADDRESSES = [
     re.compile(rf"(?<![\w-])[{UP}][\w-]+(?: [{UP}][\w-]+)? (?:Straße|Strasse|Str\.|Gasse|Platz|Weg|Allee|STRASSE|ALLEE|PLATZ|WEG) \d{{1,4}}(?: ?[a-h](?!\w))?(?!\w)"),
     re.compile(rf"(?<![\w-])(?i:{STREET_BEFORE_ES}) ?(?:(?i:de la|de los|de las|del|de) )?[{UP}][\w'-]+(?: [{UP}][\w'-]+)?,? (?:n?[º°.]? ?)?\d{{1,4}}(?![\w])"),
 ]
-#: A street's word in lower case, before or after its number, without which no pattern of ADDRESSES matches.
-_STREET = re.compile(rf"(?<!\w)(?:{STREET_AFTER.lower()}|{STREET_BEFORE_FR}|{STREET_BEFORE_ES.lower()})(?!\w)|c/|(?:{STREET_END})\b\.? \d".replace("\\.?)", ")").replace("\\.?|", "|"))
+#: By pattern of ADDRESSES: words in lower case one of which a text needs; the two of streets' ends need a text with _STREET_END.
+_lower_words = lambda t: frozenset(re.findall(r"[^\W\d_]+", t.replace("\\.?", "").lower()))
+_AFTER, _FRENCH, _SPANISH = _lower_words(STREET_AFTER), _lower_words(STREET_BEFORE_FR.replace("\\.", "")), _lower_words(STREET_BEFORE_ES)
+_STREET_END = re.compile(rf"(?:{STREET_END})\b\.? \d".replace("\\.?|", "|").replace("\\.?)", ")"))
+_NUMBERED = re.compile(r"[erzgm]\.? \d")
 _EXTENSION = re.compile(r"(?i)(?:e?xt?\.?|poste|Durchwahl|DW) ?\d+$")
 
 # What stands before a name that need not be known.
@@ -198,6 +209,9 @@ _KIND = "products?|brands?|shops?|playlists?|songs?|places?|Produkte?|Marken?|pr
 THINGS = re.compile(rf"{_THING}(?:(?:,| and| und| et| y| &) {_THING})* (?:{_IS}) (?:{_OF}) (?:{_KIND})\b")
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"]+")
 TOKEN = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
+_PREFIXED = re.compile(rf"(?i)(?<![^\W\d_])(?:{'|'.join(PREFIXES)})")
+#: Words one of which THINGS needs.
+_THING_WORDS = frozenset(w for k in _KIND.lower().split("|") for w in (k.replace("?", ""), k.replace("s?", "").replace("n?", "").replace("e?", "")))
 
 
 class Names:
@@ -216,7 +230,7 @@ class Names:
         A full name of two known parts counts in any case; all else must begin with a capital. A given name before an
         unknown capitalised word is a full name, unless the two are a fixed phrase or an organisation's word follows.
         """
-        if self.any.isdisjoint(words) and not any(w.startswith(PREFIXES) for w in words):
+        if self.any.isdisjoint(words) and not _PREFIXED.search(text):
             return []
         found = [m.span() for m in TOKEN.finditer(text)]
         tokens = []
@@ -232,7 +246,7 @@ class Names:
                 return True
             if "-" in word:
                 return all(p and known(p, names) for p in word.split("-"))
-            return names is self.family and any(word.startswith(p) and word[len(p) :] in names for p in PREFIXES)
+            return names is self.family and word.startswith(PREFIXES) and any(word.startswith(p) and word[len(p) :] in names for p in PREFIXES)
 
         gap = lambda i: text[tokens[i][1] : tokens[i + 1][0]] if i + 1 < n else ""
 
@@ -279,6 +293,8 @@ class Names:
         while i < n:
             a, b, t, low = tokens[i]
             here, i = i, i + 1
+            if low not in self.any and len(t) > 1 and "-" not in low and not low.startswith(PREFIXES):
+                continue
             if (a and text[a - 1] in "@._-" ) or text[b : b + 1] == "@" or (a and text[a - 1].isalnum()) or text[b : b + 1].isalnum():
                 continue
             cap = t[0].isupper()
@@ -394,8 +410,11 @@ def _mask(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def _n_digits(text: str) -> int:
-    return len(re.findall(r"\d", text))
+    return len(_DIGIT.findall(text))
 
 
 UNKNOWN = Names()
@@ -412,7 +431,7 @@ def find(text: str, name: bool = False, names: Names = UNKNOWN) -> list[tuple[st
     v = normalised(text)
     body = v.text
     low = body.lower()
-    words = set(WORD.findall(low))
+    words = v.words
     if "://" in body or "www." in body:
         body = _mask(body, [m.span() for m in URL.finditer(body) if "@" not in m[0]])
     out: list[tuple[str, int, int]] = []
@@ -425,19 +444,20 @@ def find(text: str, name: bool = False, names: Names = UNKNOWN) -> list[tuple[st
 
     if "@" in body:
         take("email", [m.span() for m in EMAIL.finditer(body)])
-    if _n_digits(body):
-        if any(w.startswith(_ANY_ID) for w in words):
+    if _DIGIT.search(body):
+        if met := {m[1] for m in _ID_WORD.finditer(low)}:
             for p, own in zip(IDS, ID_WORDS, strict=True):
-                if any(w.startswith(own) for w in words):
+                if any(w.startswith(own) for w in met):
                     take("id_number", [m.span(1) for m in p.finditer(body)])
-        if _STREET.search(low):
-            for p in ADDRESSES[1:2] + ADDRESSES[:1] + ADDRESSES[2:]:
-                take("address", [m.span() for m in p.finditer(body)])
-        if _n_digits(body) >= 9:
+        german = _NUMBERED.search(low) is not None and _STREET_END.search(low) is not None
+        for i, near in ((1, not _FRENCH.isdisjoint(words)), (0, not _AFTER.isdisjoint(words)), (2, german), (3, german), (4, not _SPANISH.isdisjoint(words))):
+            if near:
+                take("address", [m.span() for m in ADDRESSES[i].finditer(body)])
+        if _PHONE_LIKE.search(body):
             for p in PHONES:
                 take("phone", [m.span() for m in p.finditer(body) if 9 <= _n_digits(_EXTENSION.sub("", m[0])) <= 15])
             take("phone", [m.span(1) for m in CALL.finditer(body) if 9 <= _n_digits(m[1]) <= 15])
-    things = [m.span() for m in THINGS.finditer(body)] if not names.any.isdisjoint(words) else []
+    things = [m.span() for m in THINGS.finditer(body)] if not names.any.isdisjoint(words) and not _THING_WORDS.isdisjoint(words) else []
     body = _mask(body, things)
     take("person", names.persons(body, words))
     for p, own in IN_CONTEXT:
