@@ -39,8 +39,9 @@ def ranked_targets(targets: DataFrame, ranked: DataFrame) -> DataFrame:
 
 def rivals_of(results: DataFrame, domain: Column, top: int = 5) -> DataFrame:
     """query, place, url, position, ugc: the first top results that aren't of the domain, each address once in any spelling. results: query, position, url."""
-    rows = results.where(url_host(F.col("url")).isNotNull() & ~own_domain(url_host(F.col("url")), domain)).select("query", "position", "url", url_key(F.col("url")).alias("k"))
-    once = rows.groupBy("query", "k").agg(F.min(F.struct("position", "url")).alias("r"))
+    rows = results.select("query", "position", "url", url_key(F.col("url")).alias("k"), url_host(F.col("url")).alias("host"), domain.alias("own"))
+    # addresses of one key have one host; tested after grouping, it is taken from each address just once
+    once = rows.groupBy("query", "k").agg(F.min(F.struct("position", "url")).alias("r"), F.first("host").alias("host"), F.first("own").alias("own")).where(F.col("host").isNotNull() & ~own_domain(F.col("host"), F.col("own")))
     place = F.row_number().over(Window.partitionBy("query").orderBy("r.position", "r.url"))
     return once.withColumn("place", place).where(F.col("place") <= top).select("query", "place", "r.url", "r.position")
 
