@@ -97,7 +97,7 @@ def update(df: DataFrame, groups: list[str], value: str, weight: Column | None =
         held: list[pa.Table] = []
         pairs, new = 0, 0
         for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
+            held.append(pa.Table.from_arrays(batch.columns, names=batch.schema.names))  # columns that allow nulls, as counted ones do
             new += batch.num_rows
             if new >= ROWS_IN:
                 held = [counted(held)]

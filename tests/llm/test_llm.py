@@ -357,6 +357,13 @@ def test_percentiles_days_and_deletions(spark):
     assert gone.count() == 0
 
 
+def test_percentiles_of_a_long_partition(spark):
+    rows_in = 2 * dyadic.ROWS_IN + 50_000
+    df = spark.range(0, rows_in, 1, 1).select(F.lit("a").alias("g"), (F.col("id") % 1000).alias("v"))
+    got = dyadic.quantiles(dyadic.update(df, ["g"], "v"), ["g"], (0.5,)).collect()
+    assert [(r["g"], r["n"]) for r in got] == [("a", rows_in)] and abs(got[0]["p50"] - 499) <= 1000 * dyadic.RANK_ERROR
+
+
 # --- personal data
 
 
