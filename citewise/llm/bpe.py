@@ -180,9 +180,12 @@ class Encoder:
         self.size[word : self.n_words] = size
         self.ids[first : self.n_ids] = ids
 
-    def look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The store's index of each word of the texts, and the number of words of each text."""
-        if len(self.of) > REMEMBERED:
+    def look_up(self, texts: list[str], keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The store's index of each word of the texts, and the number of words of each text.
+
+        A full store is emptied first, and indexes given before are void then; not with keep.
+        """
+        if len(self.of) > REMEMBERED and not keep:
             self.forget()
         words = [self.split(t) for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
@@ -200,9 +203,9 @@ class Encoder:
         per_word = np.r_[0, ends]
         return ids, per_word[np.r_[0, np.cumsum(counts)]]
 
-    def count(self, texts: list[str]) -> np.ndarray:
+    def count(self, texts: list[str], keep: bool = False) -> np.ndarray:
         """The number of tokens of each text."""
-        at, counts = self.look_up(texts)
+        at, counts = self.look_up(texts, keep)
         per_word = np.r_[0, np.cumsum(self.size[at])]
         ends = np.cumsum(counts)
         return per_word[ends] - per_word[ends - counts]

@@ -128,7 +128,7 @@ class Splitter:
                 if not kind:
                     end, kind = max(bisect_right(tokens, top) - 1, done + 1), "hard"
             if start in inner or end in inner:
-                whole = int(enc.count([text[chars[start] : chars[end]]])[0])
+                whole = int(enc.count([text[chars[start] : chars[end]]], keep=True)[0])
             else:
                 k = end
                 while kind != "end" and k > start and blank[k - 1]:
@@ -140,10 +140,10 @@ class Splitter:
                     whole += int(enc.size[enc.of[space]])
             while whole > limit and end - 1 > done:  # parts of one word may join to other tokens
                 end, kind = end - 1, "hard"
-                whole = int(enc.count([text[chars[start] : chars[end]]])[0])
+                whole = int(enc.count([text[chars[start] : chars[end]]], keep=True)[0])
             while whole > limit and start < done:  # one more unit is more than limit less overlap: the overlap gives way
                 start += 1
-                whole = int(enc.count([text[chars[start] : chars[end]]])[0])
+                whole = int(enc.count([text[chars[start] : chars[end]]], keep=True)[0])
             pieces.append((chars[start], chars[end], whole, kind))
             if end == last:
                 return pieces

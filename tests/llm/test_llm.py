@@ -171,6 +171,15 @@ def test_pieces(enc, public, limit, overlap):
                 assert q[0] == p[1]
 
 
+def test_pieces_with_a_full_store(enc, monkeypatch):
+    import citewise.llm.bpe as bpe
+
+    want = split_block(Splitter(enc, 64, 16), TEXTS)
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    small = Splitter(Encoder(vocabulary("byte_bpe_50k")), 64, 16)
+    assert [split_block(small, TEXTS) for _ in range(2)] == [want, want]
+
+
 def test_natural_boundaries_come_first(enc):
     [paragraphs] = split_block(Splitter(enc, 64, 16), [TEXTS[1]])
     assert {k for *_, k in paragraphs[:-1]} == {"paragraph"}
