@@ -66,9 +66,25 @@ def image_origin(src: str, host: str) -> str:
     return "third-party" if _within(hosts[0], FOREIGN_IMAGES) else "own"
 
 
+def absolute(base: str, href: str) -> str | None:
+    """href joined to base; null where that is no address, as with an open bracket in the host."""
+    try:
+        whole = urljoin(base, href)
+        urlsplit(whole)
+    except ValueError:
+        return None
+    return whole
+
+
+def whole_text(text: str) -> str:
+    """text with halves of surrogate pairs, which JSON's escapes can name, replaced."""
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 class _Page(HTMLParser):
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
+        url = absolute("", url) or ""
         self.url = url
         self.host = (urlsplit(url).hostname or "").removeprefix("www.")
         self.r: dict = {k: None for k in ("lang", "title", "description", "canonical", "robots", "viewport", "refresh", "org_name", "mount_chars")}
@@ -95,6 +111,13 @@ class _Page(HTMLParser):
     def inside(self, tags) -> bool:
         return any(t in tags for t, _ in self.stack)
 
+    def parse_marked_section(self, i, report=1):
+        """A section of no known keyword, as text that damage put after <! makes it, is a comment up to the next >."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -126,11 +149,11 @@ class _Page(HTMLParser):
         rel = a.get("rel", "").lower().split()
         if "canonical" in rel:
             self.r["n_canonicals"] += 1
-            self.first("canonical", urljoin(self.url, a.get("href", "")).partition("#")[0])
+            self.first("canonical", (absolute(self.url, a.get("href", "")) or "").partition("#")[0])
         if "icon" in rel or "apple-touch-icon" in rel:
             self.r["has_favicon"] = True
         if "alternate" in rel and a.get("hreflang"):
-            self.r["hreflang"].append((a["hreflang"], urljoin(self.url, a.get("href", "")) if self.url else a.get("href", "")))
+            self.r["hreflang"].append((a["hreflang"], absolute(self.url, a.get("href", "")) or a.get("href", "")))
 
     def image(self, a: dict) -> None:
         r = self.r
@@ -138,10 +161,10 @@ class _Page(HTMLParser):
         r["n_missing_alt"] += "alt" not in a
         r["n_missing_size"] += "width" not in a or "height" not in a
         src = next((a[k].strip() for k in ("data-src", "data-lazy-src", "data-original", "src") if a.get(k, "").strip() and not a[k].strip().lower().startswith("data:")), "")
-        size = [int(a[k]) for k in ("width", "height") if a.get(k, "").isdigit()]
+        size = [int(a[k].lstrip("0")[:9] or 0) for k in ("width", "height") if a.get(k, "").isdecimal()]  # nine digits are large, whatever follows
         small = any(s <= 2 for s in size) or (len(size) == 2 and max(size) <= 64)
         if src and not small and not self.in_chrome and not DECORATION.search(src.rsplit("/", 1)[-1].split("?")[0]):
-            r["images"].append(image_origin(urljoin(self.url, src), self.host))
+            r["images"].append(image_origin(absolute(self.url, src) or src, self.host))
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in reversed(attrs)}
@@ -160,7 +183,7 @@ class _Page(HTMLParser):
         elif tag == "p":
             r["n_paragraphs"] += 1
         elif tag == "a" and "href" in a:
-            to = urlsplit(urljoin(self.url, a["href"].strip()))
+            to = urlsplit(absolute(self.url, a["href"].strip()) or "")
             if to.scheme in ("http", "https"):
                 own = (to.hostname or "").removeprefix("www.") == self.host
                 where = f"{to.scheme}://{to.netloc}{to.path}" + (f"?{to.query}" if to.query else "")
@@ -243,7 +266,7 @@ class _Page(HTMLParser):
             self.ld = False
             try:
                 self.walk(json.loads(got))
-            except ValueError:
+            except (ValueError, RecursionError):
                 self.r["n_json_ld_errors"] += 1
         if tag in BLOCKS:
             self.end_block()
@@ -252,14 +275,15 @@ class _Page(HTMLParser):
 
     def walk(self, value) -> None:
         r, todo = self.r, [value]
-        name = lambda v: v.get("name") if isinstance(v, dict) else v if isinstance(v, str) else None
+        text = lambda v: whole_text(v) if isinstance(v, str) else None
+        name = lambda v: text(v.get("name") if isinstance(v, dict) else v)
         while todo:
             v = todo.pop()
             if isinstance(v, list):
                 todo += reversed(v)
             elif isinstance(v, dict):
                 kind = v.get("@type")
-                own = [k for k in (kind if isinstance(kind, list) else [kind]) if isinstance(k, str)]
+                own = [whole_text(k) for k in (kind if isinstance(kind, list) else [kind]) if isinstance(k, str)]
                 r["json_ld_types"] += [k for k in own if k not in r["json_ld_types"]]
                 if any(k.endswith("Organization") or k in ("LocalBusiness", "Corporation") for k in own):
                     self.first("org_name", name(v))
@@ -270,9 +294,9 @@ class _Page(HTMLParser):
                         r["authors"].insert(0, name(author))
                         r["author_in_schema"] = True
                 if isinstance(v.get("datePublished"), str):
-                    r["published"].insert(0, v["datePublished"])
+                    r["published"].insert(0, text(v["datePublished"]))
                 if isinstance(v.get("dateModified"), str):
-                    r["modified"].insert(0, v["dateModified"])
+                    r["modified"].insert(0, text(v["dateModified"]))
                 r["has_faq_type"] |= "FAQPage" in own
                 r["has_breadcrumb"] |= "BreadcrumbList" in own
                 r["has_address"] |= "PostalAddress" in own
@@ -292,7 +316,11 @@ class _Page(HTMLParser):
 
 
 def page_facts(html: str, url: str = "") -> dict:
-    """The facts of one page; damaged HTML is read as far as it goes, whatever its length."""
+    """The facts of one page; damaged HTML is read as far as it goes, whatever its length.
+
+    Links and canonicals that are no address are left out (canonicals are counted), alternates and pictures taken as they
+    stand; JSON-LD that is damaged, or nested deeper than the reader goes, counts as an error.
+    """
     p = _Page(url)
     p.feed(html)
     p.close()

@@ -214,6 +214,34 @@ def test_any_page_is_read(html):
     page_facts(html)
 
 
+DAMAGED = [
+    ("<![MASK]doctype html>", {"lang": "en"}), ("<![ x", {}), ("<![MASK", {}), ('<a href="http://[bad/">x</a><a href="/y">y</a>', {"links": ["https://e.example/y"], "n_external": 0}), ('<a href="http://a\u2100b.com/">x</a>', {"n_external": 0}),
+    ('<link rel="canonical" href="http://[x">', {"canonical": None, "n_canonicals": 1}), ('<link rel="alternate" hreflang="de" href="http://[x">', {"hreflang": [("de", "http://[x")]}), ('<img src="http://[x/y.png">', {"images": ["own"]}),
+    ('<img width="²" height="3" src="/a.png">', {"images": ["own"]}), (f'<img width="{"9" * 5000}" height="{"0" * 5000}1" src="/a.png">', {"images": []}), (f'<script type="application/ld+json">{"[" * 200_000}{"]" * 200_000}</script>', {"n_json_ld_errors": 1}),
+    ('<script type="application/ld+json">{"@type": "\\ud800", "author": "\\udc00"}</script>', {"json_ld_types": ["\ufffd"], "authors": ["\ufffd"]}), ('<script type="application/ld+json">{"@type": "Organization", "name": ["a"]}</script>', {"org_name": None, "json_ld_types": ["Organization"]}),
+]
+
+
+@pytest.mark.parametrize(("mark", "want"), DAMAGED)
+def test_damaged_pages_are_read(mark, want):
+    r = page_facts(mark + '<html lang="en"><body><p>after</p></body></html>', "https://e.example/p")
+    assert {k: r[k] for k in want} == want
+    assert r["main_text"].endswith("after")
+    page_facts(mark, "https://[e.example/p")
+
+
+@pytest.mark.parametrize("name", ["page_facts"])
+def test_page_queries_read_damaged_pages(spark, tmp_path, name):
+    from citewise.plans import pages_and_streams, tools
+
+    pages = [(i, m + '<html lang="en"><title>t</title><body><p>one two</p><a href="/y">y</a></body></html>', "e.example", "page_html") for i, (m, _) in enumerate(DAMAGED)]
+    spark.createDataFrame(pages, "doc_id long, text string, source string, doc_type string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = (pages_and_streams.QUERIES | tools.QUERIES)[name](spark, str(tmp_path)).collect()
+    assert got
+    if "doc_id" in got[0]:
+        assert {str(r["doc_id"]) for r in got} == {str(i) for i, *_ in pages}
+
+
 def test_text(spark):
     df = spark.createDataFrame([(1, "The cat sat. It ran! " * 10), (2, ""), (3, None)], "id int, t string")
     got = {r["id"]: r for r in P.text_measures(df, "id", "t").collect()}
