@@ -230,7 +230,7 @@ def test_damaged_pages_are_read(mark, want):
     page_facts(mark, "https://[e.example/p")
 
 
-@pytest.mark.parametrize("name", ["page_facts", "page_structure", "tool_links", "page_content", "reading_ease", "phrases"])
+@pytest.mark.parametrize("name", ["page_facts", "page_structure", "tool_links", "page_content", "reading_ease", "phrases", "tool_page_items"])
 def test_page_queries_read_damaged_pages(spark, tmp_path, name):
     from citewise.plans import pages_and_streams, tools
 
