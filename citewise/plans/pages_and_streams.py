@@ -9,6 +9,7 @@ from citewise.operators import matching as M
 from citewise.operators import checks as C
 from citewise.operators import pages as P
 from citewise.operators.duplicates import near_duplicates
+from citewise.session import cut
 from citewise.sources.logs import log_lines
 from citewise.sources.pages import page_signals, parse_pages
 from citewise.sources.robots import robots_decisions, robots_rules
@@ -144,17 +145,20 @@ def page_content(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def html_site_checks(spark: SparkSession, d: str) -> DataFrame:
-    """The audit of the page sources by themselves: a site is a source, its first page the entry; what only probes tell isn't measured."""
-    f = _facts(spark, d).withColumn("site", F.coalesce("source", F.lit("")))
+    """The audit of the page sources by themselves: a site is a source, its first page the entry; what only probes tell isn't measured.
+
+    The pages' facts, and the rows that are audited, are written once and read by all that follows.
+    """
+    f = cut(_facts(spark, d).withColumn("site", F.coalesce("source", F.lit(""))))
     s = page_signals(f, "doc_id", F.col("url")).select("doc_id", "n_words", "n_unique_links", "js_shell", "noindex", "page_type", "last_modified")
     near = near_duplicates(f.select("doc_id", "main_text"), "doc_id", "main_text").join(f.select("doc_id", "site"), "doc_id")
     size = near.groupBy("class", "site").agg(F.count("*").alias("c"))
     near = near.join(size, ["class", "site"]).select("doc_id", (F.col("c") > 1).alias("near_duplicate"))
     entry = f.groupBy("site").agg(F.min(F.col("doc_id").cast("long")).cast("string").alias("entry"))
-    p = f.join(s, "doc_id").join(near, "doc_id", "left").join(entry, "site").select(
+    p = cut(f.join(s, "doc_id").join(near, "doc_id", "left").join(entry, "site").select(
         "site", "url", F.col("url").alias("final_url"), F.lit(200).alias("status"), "title", "description", "h1s", "headings", "n_words", F.col("n_internal").alias("n_links"), "n_unique_links", "n_nofollow", F.col("n_generic_anchors").alias("n_generic"), "n_images", "n_missing_alt", F.col("n_missing_size").alias("n_missing_dims"),
         F.col("json_ld_types").alias("types"), F.col("n_json_ld_errors").alias("n_ld_errors"), "has_breadcrumb", "n_mixed", "hreflang", "canonical", "lang", "viewport", "og", "twitter", "has_favicon", "noindex", F.col("refresh").isNotNull().alias("meta_refresh"), "last_modified", "js_shell", "page_type", "links", (F.col("doc_id") == F.col("entry")).alias("is_entry"), "near_duplicate",
-    )
+    ))
     sites = p.groupBy("site").agg(F.min(F.when(F.col("is_entry"), F.col("url"))).alias("entry_url"))
     return C.site_checks(C.Crawl(p, sites, F.lit("2026-10-01").cast("date"))).drop("of_pages")
 

@@ -230,7 +230,7 @@ def test_damaged_pages_are_read(mark, want):
     page_facts(mark, "https://[e.example/p")
 
 
-@pytest.mark.parametrize("name", ["page_facts", "page_structure", "tool_links", "page_content", "reading_ease", "phrases", "tool_page_items"])
+@pytest.mark.parametrize("name", ["page_facts", "page_structure", "tool_links", "page_content", "reading_ease", "phrases", "tool_page_items", "html_site_checks"])
 def test_page_queries_read_damaged_pages(spark, tmp_path, name):
     from citewise.plans import pages_and_streams, tools
 
@@ -242,6 +242,17 @@ def test_page_queries_read_damaged_pages(spark, tmp_path, name):
         assert {str(r["doc_id"]) for r in got} == {str(i) for i, *_ in pages}
 
 
+@pytest.mark.parametrize("name", ["html_site_checks"])
+def test_page_queries_read_pages_once(spark, tmp_path, name):
+    """What the queries return reads facts that are written: the pages aren't parsed again for each of its branches."""
+    from citewise.plans import pages_and_streams, tools
+
+    pages = [(1, '<html lang="en"><title>t</title><body><p>one two</p></body></html>', "e.example", "page_html"), (2, None, None, "page_html")]
+    spark.createDataFrame(pages, "doc_id long, text string, source string, doc_type string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = (pages_and_streams.QUERIES | tools.QUERIES)[name](spark, str(tmp_path))
+    assert "MapInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_text(spark):
     df = spark.createDataFrame([(1, "The cat sat. It ran! " * 10), (2, ""), (3, None)], "id int, t string")
     got = {r["id"]: r for r in P.text_measures(df, "id", "t").collect()}
