@@ -114,11 +114,11 @@ def alias_matches(spark: SparkSession, d: str) -> DataFrame:
     return M.match_aliases(table(spark, d, "leads").where("brand is not null").select(F.col("brand").alias("name")).distinct(), "name", aliases)
 
 
-def _facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of every page source, with its source (the site), number in it and address."""
-    docs = table(spark, d, "documents").where("doc_type = 'page_html'").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")
+def _facts(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    """Facts of every page source (of those of which where holds), with its source (the site) and address."""
+    docs = table(spark, d, "documents").where("doc_type = 'page_html'").where(where).select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")
     at = docs.withColumn("url", F.concat(F.lit("https://"), F.coalesce("source", F.lit("none.example")), F.lit("/page-"), "doc_id"))
-    return parse_pages(at, "doc_id", "text", "url").join(at.select("doc_id", "source", "url"), "doc_id")
+    return parse_pages(at, "doc_id", "text", "url", keep=("source", "url"))
 
 
 @query(r"""SELECT doc_id::varchar AS doc_id, nullif(trim(regexp_extract(text, '<html lang="([^"]*)"', 1)), '') AS lang,
@@ -131,8 +131,7 @@ def page_facts(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT doc_id::varchar AS doc_id, len(list_filter(regexp_extract_all(text, '<a href="[^"]*"'), lambda x: starts_with(x, '<a href="/'))) AS n_links, replace(trim(regexp_replace(regexp_extract(text, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS title,
   len(regexp_extract_all(text, '<h3[^>]*>')) AS n_h3, len(regexp_extract_all(text, '<ul|<ol')) AS n_lists, len(regexp_extract_all(text, '<table')) AS n_tables FROM documents WHERE doc_type = 'page_html' AND text LIKE '%<title>%</title>%</html>%'""")
 def page_structure(spark: SparkSession, d: str) -> DataFrame:
-    whole = table(spark, d, "documents").where("doc_type = 'page_html' AND text LIKE '%<title>%</title>%</html>%'").select(F.col("doc_id").cast("string").alias("doc_id"))
-    f = _facts(spark, d).join(whole, "doc_id", "left_semi")
+    f = _facts(spark, d, "text LIKE '%<title>%</title>%</html>%'")
     s = page_signals(f, "doc_id", F.col("url"))
     return s.select("doc_id", "n_links", "title", "n_h3", "n_lists", "n_tables")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin, urlsplit
 
@@ -333,28 +334,42 @@ def page_facts(html: str, url: str = "") -> dict:
     return p.r | {"html_chars": len(html), "text": text, "main_text": " ".join("".join(p.main).split()), "has_email": mail, "has_phone": phone}
 
 
-def parse_pages(df: DataFrame, key: str, html: str, url: str | None = None) -> DataFrame:
-    """key (string) and FACTS of each page; null and empty pages have null facts. One narrow pass over whole pages.
+#: Characters of pages whose facts leave the reader together.
+BLOCK_CHARS = 1_000_000
+
+
+def fact_frames(frames: Iterable[pd.DataFrame], columns: list[str], chars: int = BLOCK_CHARS) -> Iterator[pd.DataFrame]:
+    """columns (key, facts, and what else the frames have) of each page of frames of key, html, url, in blocks of chars characters of pages or one page more."""
+    pairs = {"headings": ("level", "text"), "hreflang": ("lang", "href"), "blocks": ("kind", "text")}
+    out, size = [], 0
+    for pdf in frames:
+        more = [c for c in pdf.columns if c not in ("key", "html", "url")]
+        for k, h, u, *rest in zip(pdf["key"], pdf["html"], pdf["url"], *(pdf[c] for c in more), strict=True):
+            r = page_facts(h, u or "") if h else {}
+            for c, names in pairs.items() if r else ():
+                r[c] = [dict(zip(names, x, strict=True)) for x in r[c]]
+            out.append({**dict.fromkeys(columns), **r, "key": k, **dict(zip(more, rest, strict=True))})
+            size += len(h or "")
+            if size >= chars:
+                yield pd.DataFrame(out, columns=columns, dtype=object)
+                out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=columns, dtype=object)
+            out, size = [], 0
+
+
+def parse_pages(df: DataFrame, key: str, html: str, url: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key (string), FACTS and the text columns keep of each page; null and empty pages have null facts. One narrow pass over whole pages.
 
     links holds every link to the same host as it stands, nav_links those in menus, headers and footers; images the origin
     of each picture in the main text that is no decoration; blocks the main text's runs by kind (p, li, h, cell, pre);
     authors and dates in the order in which they count. Texts and lists are not cut.
     """
-    columns = T.StructType.fromDDL(FACTS).names
-    src = df.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html"), (F.col(url) if url else F.lit("")).alias("url"))
-    pairs = {"headings": ("level", "text"), "hreflang": ("lang", "href"), "blocks": ("kind", "text")}
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for k, h, u in zip(pdf["key"], pdf["html"], pdf["url"], strict=True):
-                r = page_facts(h, u or "") if h else {}
-                for c, names in pairs.items() if r else ():
-                    r[c] = [dict(zip(names, x, strict=True)) for x in r[c]]
-                out.append({"key": k, **dict.fromkeys(columns), **r})
-            yield pd.DataFrame(out, columns=["key", *columns], dtype=object)
-
-    return src.mapInPandas(run, f"key string, {FACTS}").withColumnRenamed("key", key)
+    kept = {f"__{c}": c for c in keep}
+    columns = ["key", *T.StructType.fromDDL(FACTS).names, *kept]
+    src = df.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html"), (F.col(url) if url else F.lit("")).alias("url"), *(F.col(c).cast("string").alias(n) for n, c in kept.items()))
+    facts = src.mapInPandas(lambda frames: fact_frames(frames, columns), ", ".join([f"key string, {FACTS}", *(f"{n} string" for n in kept)]))
+    return facts.withColumnsRenamed({"key": key, **kept})
 
 
 # Sites whose word counts as a source.

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from datetime import datetime
 
+import pandas as pd
 import pytest
 import regex
 from conftest import rows
@@ -17,7 +18,7 @@ from citewise.operators import pages as P
 from citewise.operators import structure as S
 from citewise.sources.files import named_queries, read_csv, read_json_lines, run_named
 from citewise.sources.logs import log_lines
-from citewise.sources.pages import page_facts, page_signals, parse_pages
+from citewise.sources.pages import fact_frames, page_facts, page_signals, parse_pages
 from citewise.sources.robots import robots_decisions, robots_rules
 from citewise.streaming import windows
 from citewise.streaming.limits import step_bucket, step_window
@@ -242,6 +243,29 @@ def test_page_queries_read_damaged_pages(spark, tmp_path, name):
         assert {str(r["doc_id"]) for r in got} == {str(i) for i, *_ in pages}
 
 
+@pytest.mark.parametrize("name", ["page_structure"])
+def test_page_queries_move_no_facts(spark, tmp_path, name):
+    """Pages' facts, whole texts among them, are neither joined nor sorted: each page is read in one narrow pass, null and empty ones too."""
+    from citewise.plans import pages_and_streams, tools
+
+    pages = [(1, '<html lang="en"><title>t</title><body><p>one two</p><a href="/y">y</a></body></html>', "e.example", "page_html"), (2, None, None, "page_html"), (3, "", "e.example", "page_html")]
+    spark.createDataFrame(pages, "doc_id long, text string, source string, doc_type string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = (pages_and_streams.QUERIES | tools.QUERIES)[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    assert "Join" not in plan
+    assert {r["doc_id"] for r in df.collect()} == ({"1", "2", "3"} if name == "page_content" else {"1"})
+
+
+def test_facts_leave_in_blocks():
+    """Pages of one batch, however many and long, don't all lie in memory as facts."""
+    pages = pd.DataFrame({"key": list("abcd"), "html": ["<p>one", None, "<p>two", "<p>six"], "url": [""] * 4, "__site": ["s", "s", None, "t"]})
+    got = list(fact_frames([pages, pages[:0]], ["key", "text", "__site"], chars=12))
+    assert [f["key"].tolist() for f in got] == [["a", "b", "c"], ["d"]]
+    assert [f["text"].tolist() for f in got] == [["one", None, "two"], ["six"]]
+    assert [f["__site"].tolist() for f in got] == [["s", "s", None], ["t"]]
+
+
 @pytest.mark.parametrize("name", ["html_site_checks"])
 def test_page_queries_read_pages_once(spark, tmp_path, name):
     """What the queries return reads facts that are written: the pages aren't parsed again for each of its branches."""
