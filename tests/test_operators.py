@@ -243,7 +243,7 @@ def test_page_queries_read_damaged_pages(spark, tmp_path, name):
         assert {str(r["doc_id"]) for r in got} == {str(i) for i, *_ in pages}
 
 
-@pytest.mark.parametrize("name", ["page_structure", "tool_links"])
+@pytest.mark.parametrize("name", ["page_structure", "tool_links", "page_content"])
 def test_page_queries_move_no_facts(spark, tmp_path, name):
     """Pages' facts, whole texts among them, are neither joined nor sorted: each page is read in one narrow pass, null and empty ones too."""
     from citewise.plans import pages_and_streams, tools
