@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citewise.functions.exprs import count_words
 from citewise.operators import tools as T
 from citewise.operators.shred import shred
 from citewise.plans.pages_and_streams import _facts
-from citewise.sources.pages import page_signals
+from citewise.session import cut
 from citewise.sources.tables import table
 
 QUERIES: dict = {}
@@ -97,10 +98,9 @@ def tool_word_counter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tool_page_items(spark: SparkSession, d: str) -> DataFrame:
-    """On-page, sharing and source items of every page source, each with its tool."""
-    f = _facts(spark, d)
-    s = page_signals(f, "doc_id", F.col("url")).select("doc_id", "n_words")
-    f = f.join(s, "doc_id").withColumn("status", F.lit(200))
+    """On-page, sharing and source items of every page source, each with its tool. The facts they need are written once and read by each."""
+    n_words = count_words(F.coalesce("text", F.lit("")))
+    f = cut(_facts(spark, d).withColumn("n_words", n_words).drop("text", "main_text", "blocks")).withColumn("status", F.lit(200))
     html = table(spark, d, "documents").where("doc_type = 'page_html'").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     parts = {"onpage": T.onpage_items(f, ["doc_id"]), "og": T.og_items(f, ["doc_id"]), "twitter": T.twitter_items(f, ["doc_id"]), "facebook": T.facebook_items(f, ["doc_id"]), "html": T.html_items(html, ["doc_id"], "text")}
     out = None

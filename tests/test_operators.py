@@ -266,7 +266,7 @@ def test_facts_leave_in_blocks():
     assert [f["__site"].tolist() for f in got] == [["s", "s", None], ["t"]]
 
 
-@pytest.mark.parametrize("name", ["html_site_checks"])
+@pytest.mark.parametrize("name", ["html_site_checks", "tool_page_items"])
 def test_page_queries_read_pages_once(spark, tmp_path, name):
     """What the queries return reads facts that are written: the pages aren't parsed again for each of its branches."""
     from citewise.plans import pages_and_streams, tools
