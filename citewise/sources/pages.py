@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import islice
 from urllib.parse import unquote, urljoin, urlsplit
 
 import pandas as pd
@@ -44,7 +45,7 @@ FOREIGN_IMAGES = tuple(
 )
 DECORATION = re.compile(r"(?:^|[-_.])(?:avatars?|emoji|icons?|logos?|favicon|badges?|spinner|loader|placeholder|pixel|spacer|blank)(?:[-_.]|$)", re.I)
 DATE = re.compile(r"\b(?:\d{4}-\d{2}-\d{2}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4}|\d{1,2}\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{4})\b", re.I)
-MAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}", re.I)
+MAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}", re.I)
 DIALLED = re.compile(r"\+?\(?\d[\d\s().-]{7,18}\d")
 _WORD = re.compile(r"[^\W_]+(?:['’.\-][^\W_]+)*")
 
@@ -93,8 +94,11 @@ class _Page(HTMLParser):
         self.r |= {k: 0 for k in ("n_canonicals", "n_images", "n_missing_alt", "n_missing_size", "n_internal", "n_external", "n_nofollow", "n_generic_anchors", "n_json_ld_errors", "n_paragraphs", "n_mixed", "script_chars", "n_dated", "n_lists", "n_ordered", "n_list_items", "n_tables", "n_interstitials", "n_same_as")}
         self.r |= {k: False for k in ("has_favicon", "has_breadcrumb", "author_in_schema", "byline_marked", "has_faq_type", "has_email", "has_phone", "has_address")}
         self.stack: list[tuple[str, bool]] = []
+        self.open: dict[str, int] = {}  # how many of each tag, and how many outside the main text, are on the stack
+        self.chrome = 0
         self.text: list[str] = []
         self.main: list[str] = []
+        self.counted = self.main_words = 0  # pieces of the main text whose words are counted, and their words
         self.held: dict[str, list[str]] = {}
         self.anchor: tuple[bool, bool] | None = None
         self.block: tuple[str, int] | None = None
@@ -107,10 +111,17 @@ class _Page(HTMLParser):
 
     @property
     def in_chrome(self) -> bool:
-        return any(c for _, c in self.stack)
+        return self.chrome > 0
 
     def inside(self, tags) -> bool:
-        return any(t in tags for t, _ in self.stack)
+        return any(map(self.open.get, tags))
+
+    def words_so_far(self) -> int:
+        """Words of the main text's pieces up to here; each piece is counted once, whatever the number of links."""
+        for piece in islice(self.main, self.counted, None):
+            self.main_words += len(_WORD.findall(piece))
+        self.counted = len(self.main)
+        return self.main_words
 
     def parse_marked_section(self, i, report=1):
         """A section of no known keyword, as text that damage put after <! makes it, is a comment up to the next >."""
@@ -192,7 +203,7 @@ class _Page(HTMLParser):
                 if own:
                     r["n_nofollow"] += "nofollow" in a.get("rel", "").lower().split()
                     r["links"].append(where)
-                    (r["nav_links"].append if self.inside(("nav", "header", "footer")) else r["link_positions"].append)(where if self.inside(("nav", "header", "footer")) else sum(len(_WORD.findall(t)) for t in self.main))
+                    r["nav_links"].append(where) if self.inside(("nav", "header", "footer")) else r["link_positions"].append(self.words_so_far())
                 elif not self.in_chrome:
                     r["externals"].append(where)
                 self.anchor = (own, True)
@@ -226,7 +237,9 @@ class _Page(HTMLParser):
             self.ld = "ld+json" in a.get("type", "").lower()
             r["script_chars"] += len(self.get_starttag_text() or "")
         if tag not in VOID:
-            self.stack.append((tag, tag in CHROME or a.get("role", "").lower() in CHROME_ROLES))
+            self.stack.append((tag, chrome := tag in CHROME or a.get("role", "").lower() in CHROME_ROLES))
+            self.open[tag] = self.open.get(tag, 0) + 1
+            self.chrome += chrome
         if tag in BLOCKS:
             self.end_block()
             self.text.append(" ")
@@ -245,9 +258,12 @@ class _Page(HTMLParser):
             self.block = None
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.stack):
-            while self.stack.pop()[0] != tag:
-                pass
+        if self.open.get(tag):
+            last = None
+            while last != tag:
+                last, chrome = self.stack.pop()
+                self.open[last] -= 1
+                self.chrome -= chrome
             if self.mount is not None and len(self.stack) <= self.mount:
                 self.mount = None
         was_held = tag in self.held

@@ -1,5 +1,6 @@
 import json
 import re
+import time
 from collections import Counter
 from datetime import datetime
 
@@ -243,6 +244,19 @@ def test_page_queries_read_damaged_pages(spark, tmp_path, name):
         assert {str(r["doc_id"]) for r in got} == {str(i) for i, *_ in pages}
 
 
+LONG = [("<div>" * 20_000 + "x", 0), ("word <a href='/x'>l</a> " * 4500, 4500), ("<p>" + "a" * 100_000, 0), ("<p>" + "a" * 50_000 + "@" + "b" * 50_000, 0)]
+
+
+@pytest.mark.parametrize(("html", "want"), LONG)
+def test_long_pages_take_time_in_proportion(html, want):
+    """Tags left open, many links and unbroken text: 100,000 characters took 9 to 177 seconds."""
+    start = time.process_time()
+    r = page_facts(html, "https://e.example/p")
+    assert time.process_time() - start < 4
+    assert (len(r["links"]), len(r["link_positions"])) == (want, want)
+    assert r["link_positions"] == [2 * i + 1 for i in range(want)]
+
+
 @pytest.mark.parametrize("name", ["page_structure", "tool_links", "page_content"])
 def test_page_queries_move_no_facts(spark, tmp_path, name):
     """Pages' facts, whole texts among them, are neither joined nor sorted: each page is read in one narrow pass, null and empty ones too."""
