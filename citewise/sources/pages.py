@@ -451,6 +451,8 @@ def page_signals(facts: DataFrame, key: str, url: Column) -> DataFrame:
     ease = E.reading_ease(F.size(words), sentences, F.aggregate(words, F.lit(0), lambda t, w: t + E.syllables(w)))
     published, modified = first_of(F.col("published"), iso_date), first_of(F.col("modified"), iso_date)
     by_text = author_name(F.nullif(F.regexp_extract(F.substring("main_text", 1, 400), BY_TEXT, 1), F.lit("")))
+    # the words are bound to a variable: within the filter they would be counted again for each link
+    late = F.get(F.transform(F.array("main_words"), lambda n: F.size(F.filter("link_positions", lambda p: p >= 0.7 * n))), F.lit(0))
     questions = F.size(F.filter("headings", lambda h: h["level"].isin(2, 3) & X.is_question(h["text"])))
     para_words = F.aggregate(F.transform("__paras", lambda p: F.regexp_count(p, F.lit(E.WORD))), F.lit(0), lambda t, n: t + n)
     keys = F.array_distinct(F.filter(F.transform("links", E.url_key), lambda k: k != F.coalesce(E.url_key(F.col("__url")), F.lit(""))))
@@ -468,7 +470,7 @@ def page_signals(facts: DataFrame, key: str, url: Column) -> DataFrame:
         *(X.count_markers(main, k).alias(n) for k, n in (("experience", "n_experience"), ("original_data", "n_original"), ("ai_phrase", "n_ai_phrases"), ("ymyl", "n_ymyl"))), F.size(F.filter("externals", is_authoritative)).alias("n_authoritative"), F.size("externals").alias("n_outbound"),
         *(F.size(F.filter("images", lambda o: o == k)).alias(n) for k, n in (("own", "n_own_images"), ("stock", "n_stock_images"))), (F.col("author_in_schema") | F.col("byline_marked") | by_text.isNotNull()).alias("byline"),
         F.coalesce(first_of(F.col("authors"), author_name), by_text).alias("author_name"), "author_in_schema", published.alias("date_published"), modified.alias("date_modified"), X.title_year(F.col("title")).alias("title_year"), "lead_text", "first_paragraph",
-        (F.col("has_faq_type") | F.exists("headings", lambda h: h["text"].rlike(r"(?i)\b(?:faqs?|frequently asked)\b"))).alias("has_faq"), F.size(F.filter("link_positions", lambda p: p >= 0.7 * F.col("main_words"))).alias("n_next_steps"), X.clickbait_hits(F.col("title")).alias("n_clickbait"),
+        (F.col("has_faq_type") | F.exists("headings", lambda h: h["text"].rlike(r"(?i)\b(?:faqs?|frequently asked)\b"))).alias("has_faq"), late.alias("n_next_steps"), X.clickbait_hits(F.col("title")).alias("n_clickbait"),
         X.title_number(F.col("title")).alias("title_number"), "org_name", F.try_element_at("og", F.lit("site_name")).alias("site_name"), X.title_brand(F.col("title")).alias("title_brand"), F.col("n_same_as"), "n_interstitials", F.array_compact(F.array(F.when(F.col("has_email"), "email"), F.when(F.col("has_phone"), "phone"), F.when(F.col("has_address"), "address"))).alias("contact_details"),
         questions.alias("n_questions"), X.years_in(F.array_join(F.filter(F.col("__paras"), lambda p: ~p.rlike(STAMP)), "\n")).alias("body_years"), kind.alias("page_type"), X.page_format(F.col("title"), kind, X.path_of(F.col("__url")) == "/", F.col("__types"), F.col("n_h2"), F.col("n_tables"), F.col("n_list_items"), F.col("n_ordered"), F.col("first_paragraph"), F.substring("main_text", 1, 400)).alias("format"),
         script.alias("script_share"), F.round(F.length("text") / F.col("html_chars"), 3).alias("text_share"), F.coalesce(shell, F.lit(False)).alias("js_shell"), noindex("noindex").alias("noindex"), noindex("nofollow").alias("nofollow"), F.size(keys).alias("n_unique_links"), F.col("n_internal").alias("n_links"), F.greatest(modified, published).alias("last_modified"), F.array_compact(issues).alias("issues"),

@@ -257,6 +257,18 @@ def test_long_pages_take_time_in_proportion(html, want):
     assert r["link_positions"] == [2 * i + 1 for i in range(want)]
 
 
+def test_page_signals_count_words_once_for_all_links(spark):
+    """3,000 links in 100,000 characters: the words of the page were counted again for each link."""
+    pages = spark.createDataFrame([("a", "<p>" + "word " * 20_000 + "<a href='/x'>l</a> " * 3000 + "</p>"), ("b", "one <a href='/x'>l</a> two three"), ("c", None)], "key string, html string").withColumn("url", F.lit("https://e.example/p"))
+    facts = parse_pages(pages, "key", "html", "url").cache()
+    facts.count()
+    start = time.time()
+    got = {r["key"]: r["n_next_steps"] for r in page_signals(facts, "key", F.lit("https://e.example/p")).select("key", "n_next_steps").collect()}
+    facts.unpersist()
+    assert time.time() - start < 15
+    assert got == {"a": 3000, "b": 0, "c": None}
+
+
 @pytest.mark.parametrize("name", ["page_structure", "tool_links", "page_content"])
 def test_page_queries_move_no_facts(spark, tmp_path, name):
     """Pages' facts, whole texts among them, are neither joined nor sorted: each page is read in one narrow pass, null and empty ones too."""
