@@ -510,7 +510,7 @@ _SHORT = r"e\.g|i\.e|vs|mr|mrs|ms|dr|prof|st|jr|sr|inc|ltd|co|corp|no|fig|figs|a
 
 def sentence_count(text: Column) -> Column:
     """Sentences of a text: parts of its lines after a closing mark and space, each with a letter or digit; abbreviations and initials end none."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)(?<![\p{{L}}.])({_SHORT}|\p{{L}})\.(?=[^\S\n])", "$1\u0002")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)(?<![\p{{L}}.])(?=[\p{{L}}.]{{1,6}}\.[^\S\n])({_SHORT}|\p{{L}})\.(?=[^\S\n])", "$1\u0002")  # the first look passes over longer words
     parts = F.split(F.regexp_replace(t, r"([.!?][\"'”’)\]]*)[^\S\n]+", "$1\n"), "\n+")
     return F.size(F.filter(parts, lambda s: s.rlike(r"[\p{L}\p{N}]")))
 

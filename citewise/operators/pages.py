@@ -14,7 +14,7 @@ from citewise.functions.text import sentence_count
 def text_measures(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_words, n_sentences, n_syllables, reading_ease (of texts that look English, else null) of whole texts; nulls for null texts."""
     words = F.regexp_extract_all(F.col(text), F.lit(X.WORD), 0)
-    rows = df.select(key, X.count_words(F.col(text)).alias("n_words"), sentence_count(F.col(text)).alias("n_sentences"), F.aggregate(words, F.lit(0), lambda t, w: t + X.syllables(w)).alias("n_syllables"), X.looks_english(F.col(text)).alias("__english"))
+    rows = df.select(key, X.count_words(F.col(text)).alias("n_words"), sentence_count(F.col(text)).alias("n_sentences"), X.all_syllables(words).alias("n_syllables"), X.looks_english(F.col(text)).alias("__english"))
     return rows.withColumn("reading_ease", F.when(F.col("__english"), X.reading_ease(F.col("n_words"), F.col("n_sentences"), F.col("n_syllables")))).drop("__english")
 
 
