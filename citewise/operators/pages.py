@@ -71,6 +71,8 @@ STOP_WORDS = tuple(
     "why will with you your can do does did just also more most about over up out all any been being both each few how only other own same some such very s t now one get".split()
 )
 PHRASE_WORD = r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*"
+# the same words without a way back into the group: Java goes one call deeper at each hyphen else, and a word of 2,000 of them ends the executor
+_JAVA_PHRASE_WORD = PHRASE_WORD + "+"
 
 
 def phrase_density(df: DataFrame, by: list[str], text: str, top: int = 15, least: int = 2) -> DataFrame:
@@ -79,7 +81,7 @@ def phrase_density(df: DataFrame, by: list[str], text: str, top: int = 15, least
     A run neither begins nor ends with a stop word and holds no number and no word of one letter. Runs counted least
     times come out, top of each n; ties by name. Each word gives at most three rows, combined before the shuffle.
     """
-    w = F.regexp_extract_all(F.lower(text), F.lit(PHRASE_WORD), 0)
+    w = F.regexp_extract_all(F.lower(text), F.lit(_JAVA_PHRASE_WORD), 0)
     after = lambda n: F.slice("w", n, F.greatest(F.size("w"), F.lit(1)))
     words = df.select(*by, w.alias("w")).where(F.size("w") > 0)
     words = words.select(*by, F.explode(F.arrays_zip(F.col("w").alias("a"), after(2).alias("b"), after(3).alias("c"))).alias("z")).select(*by, "z.a", "z.b", "z.c")

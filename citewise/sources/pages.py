@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from itertools import islice
@@ -339,10 +340,15 @@ def page_facts(html: str, url: str = "") -> dict:
     stand; JSON-LD that is damaged, or nested deeper than the reader goes, counts as an error.
     """
     p = _Page(url)
-    p.feed(html)
-    p.close()
-    for tag in list(p.held):
-        p.handle_endtag(tag)
+    digits = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)  # a character's number, or one in JSON-LD, may have any length
+    try:
+        p.feed(html)
+        p.close()
+        for tag in list(p.held):
+            p.handle_endtag(tag)
+    finally:
+        sys.set_int_max_str_digits(digits)
     p.end_block()
     text = " ".join("".join(p.text).split())
     mail = p.r["has_email"] or bool(MAIL.search(text))

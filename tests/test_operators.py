@@ -344,6 +344,32 @@ def test_phrase_rules(spark):
     assert rows(P.phrase_density(df, ["k"], "t").select("n", "ngram", "count")) == [(1, "den", 2), (1, "fox", 3), (1, "quick", 4), (2, "quick fox", 3)]
 
 
+@pytest.mark.parametrize("mark", ["-", "'", "’"])
+def test_phrases_of_words_joined_many_times(spark, tmp_path, mark):
+    """A word of 2,000 hyphens overflowed the stack, which ends the executor: the words of the whole text come out, of pages too."""
+    from citewise.plans.pages_and_streams import QUERIES
+
+    words = [mark.join(["na"] * n) for n in (2_000, 30_000)]
+    text = " ".join(["lamp", *words, "lamp"])
+    docs = [(1, text, "blob"), (2, text, "blob"), (3, f"<p>{text}</p>", "page_html"), (4, f"<p>{text}</p>", "page_html")]
+    spark.createDataFrame(docs, "doc_id long, text string, doc_type string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["phrases"](spark, str(tmp_path)).select("doc_type", "n", "ngram", "count").collect()
+    a, b = words
+    want = {(1, "lamp", 4), (1, a, 2), (1, b, 2), (2, f"lamp {a}", 2), (2, f"{a} {b}", 2), (2, f"{b} lamp", 2), (3, f"lamp {a} {b}", 2), (3, f"{a} {b} lamp", 2)}
+    assert {tuple(r) for r in got} == {(kind, *r) for kind in ("blob", "page_html") for r in want}
+    assert len(got) == 2 * len(want)
+
+
+def test_phrases_of_pages_with_long_character_numbers(spark, tmp_path):
+    """A character given by a number of more than 4,300 digits ended the page reader by an error."""
+    from citewise.plans.pages_and_streams import QUERIES
+
+    pages = [(i, f"<p title='&#{'9' * 5000};'>amber &#{'9' * 5000}; &#{'0' * 5000}65;mber lamp</p>", "page_html") for i in range(2)]
+    spark.createDataFrame(pages, "doc_id long, text string, doc_type string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["phrases"](spark, str(tmp_path)).select("n", "ngram", "count").collect()
+    assert sorted(map(tuple, got)) == [(1, "amber", 4), (1, "lamp", 2), (2, "amber amber", 2), (2, "amber lamp", 2), (3, "amber amber lamp", 2)]
+
+
 def test_text_measures_look_at_words_as_one_by_one(spark):
     """Syllables of whole texts are those of each word; they come from Arrow batches, not from an expression run for each word."""
     texts = ["Yes, yellow played agreed tomatoes the-best Don't e.g. wanted", "漢字の the漢 İstanbul K-pop ½ x² tables", "", None, "a.b 漢-a co. approx. ｅ The", "yxes ed eed heed"]
